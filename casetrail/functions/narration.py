@@ -1,19 +1,21 @@
 """Decoding of bank narrations into channel, merchant, card, reference and bank.
 
 Each bank has an ordered rule list; the first rule whose condition holds fills the result
-struct. Everything is a Column expression, so decoding runs inside the scan stage.
+struct. All rules are built-in Column expressions, so decoding needs neither Python nor a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.functions.logic import first_match
 from casetrail.functions.text import extract, squeeze, strip
+from casetrail.session import spread
 
 # Bank short codes and IFSC prefixes.
 BANK_CODES = {
@@ -180,32 +182,54 @@ def static_event(compact_upper: Column) -> tuple[Column, Column]:
 
 @dataclass(frozen=True)
 class Rule:
-    """One decoder rule; text values become literals, missing ones null."""
+    """One decoder rule; plain texts become literals, missing values null.
+
+    ``name`` and ``place`` are spelled by ``titlecase``, ``card`` is cut to its last digits and
+    ``tokens`` are looked up by ``identify_bank``, all once per row after a rule is chosen. The
+    merchant is ``merchant`` as it stands, else ``prefix`` and the spelled name, else ``otherwise``.
+    """
 
     rule: Column | str
     when: Column
     channel: Column | str
+    name: Column | None = None
     merchant: Column | str | None = None
-    location: Column | None = None
+    prefix: Column | str | None = None
+    otherwise: Column | str | None = None
+    place: Column | None = None
     card: Column | None = None
     ref: Column | None = None
-    bank: Column | str | None = None
+    bank: str | None = None
+    tokens: tuple[Column, ...] = ()
 
-    def result(self) -> Column:
+    def pieces(self, null: Column) -> Column:
         def column(value: Column | str | None) -> Column:
             if value is None:
-                return _null()
+                return null
             return F.lit(value) if isinstance(value, str) else value
 
-        return F.struct(
-            column(self.channel).alias("channel"),
-            column(self.merchant).alias("merchant"),
-            column(self.location).alias("location"),
-            column(self.card).alias("card_last4"),
-            column(self.ref).alias("ref_number"),
-            column(self.bank).alias("counterparty_bank"),
-            column(self.rule).alias("matched_rule"),
-        )
+        tokens = (*self.tokens, None, None)
+        named = {
+            "rule": self.rule, "channel": self.channel, "name": self.name, "merchant": self.merchant,
+            "prefix": self.prefix, "otherwise": self.otherwise, "place": self.place, "card": self.card,
+            "ref": self.ref, "bank": self.bank, "token": tokens[0], "token2": tokens[1],
+        }
+        return F.struct(*[column(value).alias(key) for key, value in named.items()])
+
+
+def _finish(p: Column) -> Column:
+    """Chosen pieces as the public result struct."""
+    name = titlecase(p["name"])
+    spelled = F.when(name.isNotNull(), F.concat(F.coalesce(p["prefix"], F.lit("")), name))
+    return F.struct(
+        p["channel"].alias("channel"),
+        F.coalesce(p["merchant"], spelled, p["otherwise"]).alias("merchant"),
+        titlecase(p["place"]).alias("location"),
+        card_last4(p["card"]).alias("card_last4"),
+        p["ref"].alias("ref_number"),
+        F.coalesce(p["bank"], identify_bank(p["token"]), identify_bank(p["token2"])).alias("counterparty_bank"),
+        p["rule"].alias("matched_rule"),
+    )
 
 
 @dataclass(frozen=True)
@@ -216,6 +240,7 @@ class Text:
     upper: Column
     compact: Column
     parts: Column
+    trailing: Column
 
     def part(self, i: int) -> Column:
         return F.get(self.parts, F.lit(i))
@@ -227,30 +252,21 @@ class Text:
         return F.size(self.parts) >= n
 
 
-def _text(raw: Column) -> Text:
-    return Text(
-        raw=raw,
-        upper=F.upper(raw),
-        compact=squeeze(raw),
-        parts=F.transform(F.split(raw, "/"), strip),
-    )
-
-
-def _titled(prefix: str, name: Column) -> Column:
-    return F.concat(F.lit(prefix), F.coalesce(name, F.lit("None")))
-
-
 def _static_rule(text: Text, bank: str | None, ref: Column | None = None) -> Rule:
     channel, merchant = static_event(F.upper(text.compact))
-    return Rule("static", channel.isNotNull(), channel, merchant, ref=ref, bank=bank)
+    return Rule("static", channel.isNotNull(), channel, merchant=merchant, ref=ref, bank=bank)
 
 
-def _wire_rules(text: Text, at: int) -> Rule:
-    """NEFT/RTGS with the reference in the given slash-separated slot."""
-    return Rule(
-        F.lower(text.head()), text.head().isin("NEFT", "RTGS") & text.has(2), F.lower(text.head()),
-        titlecase(text.part(at + 1)), ref=text.part(at), bank=identify_bank(text.part(at + 2)),
-    )
+def _wire_rule(text: Text) -> Rule:
+    """NEFT/RTGS, slash-separated: reference, remitter, bank."""
+    kind = F.lower(text.part(0))
+    return Rule(kind, text.head().isin("NEFT", "RTGS") & text.has(2), kind, text.part(2),
+                ref=text.part(1), tokens=(text.part(3),))
+
+
+def _says_nothing(name: Column) -> Column:
+    """Whether a name spells to nothing at all."""
+    return ~F.coalesce(name, F.lit("")).rlike("[A-Za-z0-9&'-]")
 
 
 def _hdfc_savings(text: Text) -> list[Rule]:
@@ -272,46 +288,43 @@ def _hdfc_savings(text: Text) -> list[Rule]:
 
     tag = F.upper(extract(compact, crvpos, 2))
     own_atm = F.upper(extract(compact, atm, 1)) == "ATW"
-    place = titlecase(extract(compact, atm, 4))
-    branch = titlecase(F.regexp_replace(extract(raw, chqdep), ",", " "))
+    place = extract(compact, atm, 4)
+    branch = F.regexp_replace(extract(raw, chqdep), ",", " ")
     spaceless = F.replace(raw, F.lit(" "), F.lit(""))
     rest = extract(spaceless, upi, 2)
     handle = F.regexp_replace(F.upper(extract(rest, r"(?i)@([A-Z]+)")), "^OK", "")
+    interest = F.when(channel == "interest_credit", F.lit("HDFC Bank — Savings Interest"))
     return [
-        Rule(
-            "static", channel.isNotNull(), channel,
-            F.when(channel == "interest_credit", F.lit("HDFC Bank — Savings Interest")).otherwise(merchant),
-        ),
-        Rule("pos", compact.rlike(pos), "pos", titlecase(strip_tails(extract(compact, pos, 2))),
-             card=card_last4(extract(compact, pos, 1))),
-        Rule("posref", compact.rlike(posref), "pos", titlecase(extract(compact, posref, 3)),
-             card=card_last4(extract(compact, posref, 1)), ref=extract(compact, posref, 2)),
+        Rule("static", channel.isNotNull(), channel, merchant=F.coalesce(interest, merchant)),
+        Rule("pos", compact.rlike(pos), "pos", strip_tails(extract(compact, pos, 2)),
+             card=extract(compact, pos, 1)),
+        Rule("posref", compact.rlike(posref), "pos", extract(compact, posref, 3),
+             card=extract(compact, posref, 1), ref=extract(compact, posref, 2)),
         Rule("crvpos_fuel", compact.rlike(crvpos) & tag.rlike("FUEL|DISCOUNTONFUE"), "fuel_reversal",
-             "Fuel Surcharge Reversal", card=card_last4(extract(compact, crvpos, 1))),
-        Rule("crvpos_other", compact.rlike(crvpos), "fuel_reversal", titlecase(tag),
-             card=card_last4(extract(compact, crvpos, 1))),
-        Rule("atm", compact.rlike(atm), F.when(own_atm, F.lit("atm_hdfc")).otherwise("atm_other"),
-             F.when(own_atm, _titled("HDFC Bank ATM — ", place)).otherwise(_titled("Non-HDFC ATM — ", place)),
-             place, card_last4(extract(compact, atm, 2)), extract(compact, atm, 3), "HDFC Bank"),
-        Rule("tpt", raw.rlike(tpt), "tpt", titlecase(extract(raw, tpt, 2)), ref=extract(raw, tpt, 1)),
-        Rule("chqdep", raw.rlike(chqdep), "cheque_deposit", _titled("Cheque Deposit — ", branch), branch),
-        Rule("chqpaid", raw.rlike(chqpaid), "cheque_paid", titlecase(extract(raw, chqpaid))),
-        Rule(F.concat(F.lit("ib_xfer:"), F.lower(extract(compact, between, 1))), compact.rlike(between),
-             "ib_xfer", F.concat(F.lit("HDFC A/c "), F.right(extract(compact, between, 2), F.lit(4))),
+             merchant="Fuel Surcharge Reversal", card=extract(compact, crvpos, 1)),
+        Rule("crvpos_other", compact.rlike(crvpos), "fuel_reversal", tag, card=extract(compact, crvpos, 1)),
+        Rule("atm", compact.rlike(atm), F.when(own_atm, F.lit("atm_hdfc")).otherwise("atm_other"), place,
+             prefix=F.when(own_atm, F.lit("HDFC Bank ATM — ")).otherwise("Non-HDFC ATM — "),
+             place=place, card=extract(compact, atm, 2), ref=extract(compact, atm, 3), bank="HDFC Bank"),
+        Rule("tpt", raw.rlike(tpt), "tpt", extract(raw, tpt, 2), ref=extract(raw, tpt, 1)),
+        Rule("chqdep", raw.rlike(chqdep), "cheque_deposit", branch, prefix="Cheque Deposit — ",
+             otherwise="Cheque Deposit — None", place=branch),
+        Rule("chqpaid", raw.rlike(chqpaid), "cheque_paid", extract(raw, chqpaid)),
+        Rule(F.concat(F.lit("ib_xfer:"), F.lower(extract(compact, between, 1))), compact.rlike(between), "ib_xfer",
+             merchant=F.concat(F.lit("HDFC A/c "), F.right(extract(compact, between, 2), F.lit(4))),
              ref=extract(compact, between, 2), bank="HDFC Bank"),
-        Rule("imps_p2p", raw.rlike(p2p), "imps", "IMPS P2P Transfer", ref=extract(raw, p2p, 2)),
-        Rule("imps", raw.rlike(imps), "imps", titlecase(extract(raw, imps, 2)), ref=extract(raw, imps, 1),
-             bank=identify_bank(extract(raw, imps, 3))),
+        Rule("imps_p2p", raw.rlike(p2p), "imps", merchant="IMPS P2P Transfer", ref=extract(raw, p2p, 2)),
+        Rule("imps", raw.rlike(imps), "imps", extract(raw, imps, 2), ref=extract(raw, imps, 1),
+             tokens=(extract(raw, imps, 3),)),
         Rule("mir_charge", raw.rlike(mir), "ecs",
-             F.concat(F.lit("HDFC — "), F.upper(extract(raw, mir, 1)), F.lit(" charge"))),
+             merchant=F.concat(F.lit("HDFC — "), F.upper(extract(raw, mir, 1)), F.lit(" charge"))),
         Rule(F.concat(F.lit("ach_"), F.lower(extract(raw, ach, 1))), raw.rlike(ach),
              F.when(F.upper(extract(raw, ach, 1)) == "D", F.lit("ecs")).otherwise("ecs_credit"),
-             titlecase(extract(raw, ach, 3)), ref=extract(raw, ach, 2)),
-        Rule("emi_chqs", raw.rlike(emi), "ecs", "Loan EMI", ref=extract(raw, emi), bank="HDFC Bank"),
-        Rule("upi_modern", spaceless.rlike(upi), "upi", titlecase(extract(spaceless, upi, 1)),
-             ref=extract(rest, r"\b(\d{10,})\b"),
-             bank=F.coalesce(identify_bank(handle), identify_bank(extract(F.upper(rest), f"({IFSC})")))),
-        Rule("upi_name_only", spaceless.rlike(upi_name), "upi", titlecase(extract(spaceless, upi_name))),
+             extract(raw, ach, 3), ref=extract(raw, ach, 2)),
+        Rule("emi_chqs", raw.rlike(emi), "ecs", merchant="Loan EMI", ref=extract(raw, emi), bank="HDFC Bank"),
+        Rule("upi_modern", spaceless.rlike(upi), "upi", extract(spaceless, upi, 1),
+             ref=extract(rest, r"\b(\d{10,})\b"), tokens=(handle, extract(F.upper(rest), f"({IFSC})"))),
+        Rule("upi_name_only", spaceless.rlike(upi_name), "upi", extract(spaceless, upi_name)),
     ]
 
 
@@ -319,115 +332,104 @@ def _icici(text: Text) -> list[Rule]:
     raw, part, head = text.raw, text.part, text.head()
     cash = r"(?i)^BY\s+CASH\s*-\s*(.+)$"
     clearing = r"(?i)^CLG/([^/]+?)\s*/?\s*BRK\s+(\d+)\s*$"
-    branch = titlecase(extract(raw, cash))
     purpose = F.coalesce(part(2), F.lit(""))
     generic = F.upper(purpose).isin("NA", "UPI", "") | F.startswith(F.upper(purpose), F.lit("PAYMENT FROM"))
     address = F.coalesce(extract(part(3), HANDLE), part(3))
-    note = F.coalesce(part(3), F.lit(""))
-    has_note = ~F.upper(note).isin("NA", "MIB-", "")
+    no_note = F.upper(F.coalesce(part(3), F.lit(""))).isin("NA", "MIB-", "")
     return [
         _static_rule(text, "ICICI Bank"),
-        Rule("by_cash", raw.rlike(cash), "cash_deposit", _titled("Cash Deposit — ", branch), branch,
-             bank="ICICI Bank"),
-        Rule("upi", (head == "UPI") & text.has(3), "upi",
-             titlecase(F.when(generic, address).otherwise(purpose)), ref=part(1), bank=identify_bank(part(4))),
+        Rule("by_cash", raw.rlike(cash), "cash_deposit", extract(raw, cash), prefix="Cash Deposit — ",
+             otherwise="Cash Deposit — None", place=extract(raw, cash), bank="ICICI Bank"),
+        Rule("upi", (head == "UPI") & text.has(3), "upi", F.when(generic, address).otherwise(purpose),
+             ref=part(1), tokens=(part(4),)),
         Rule("mmt_imps", (head == "MMT") & text.has(3) & (F.upper(part(1)) == "IMPS"), "imps",
-             titlecase(F.coalesce(F.nullif(part(4), F.lit("")), part(3))), ref=part(2),
-             bank=identify_bank(part(5))),
-        Rule("bil_inft", (head == "BIL") & (F.upper(part(1)) == "INFT"), "ib_xfer",
-             F.when(has_note, titlecase(note)).otherwise("Internet Banking Transfer"), ref=part(2),
-             bank="ICICI Bank"),
-        Rule("bil_bpay", (head == "BIL") & (F.upper(part(1)) == "BPAY"), "bill_pay", titlecase(part(3)),
-             ref=part(2)),
-        _wire_rules(text, 1),
-        Rule("clg_brk", (head == "CLG") & raw.rlike(clearing), "cheque_paid",
-             titlecase(extract(raw, clearing, 1)), ref=extract(raw, clearing, 2)),
-        Rule("clg_other", (head == "CLG") & text.has(2), "cheque_paid", titlecase(part(1))),
-        Rule("vps", (head == "VPS") & text.has(3), "pos", titlecase(part(2)), ref=part(1)),
+             F.coalesce(F.nullif(part(4), F.lit("")), part(3)), ref=part(2), tokens=(part(5),)),
+        Rule("bil_inft", (head == "BIL") & (F.upper(part(1)) == "INFT"), "ib_xfer", F.when(~no_note, part(3)),
+             otherwise=F.when(no_note, F.lit("Internet Banking Transfer")), ref=part(2), bank="ICICI Bank"),
+        Rule("bil_bpay", (head == "BIL") & (F.upper(part(1)) == "BPAY"), "bill_pay", part(3), ref=part(2)),
+        _wire_rule(text),
+        Rule("clg_brk", (head == "CLG") & raw.rlike(clearing), "cheque_paid", extract(raw, clearing, 1),
+             ref=extract(raw, clearing, 2)),
+        Rule("clg_other", (head == "CLG") & text.has(2), "cheque_paid", part(1)),
+        Rule("vps", (head == "VPS") & text.has(3), "pos", part(2), ref=part(1)),
     ]
 
 
 def _idfc(text: Text) -> list[Rule]:
     part, head = text.part, text.head()
     direction = F.upper(part(1))
-    named = titlecase(part(3))
-    no_name = named.isNull() | (F.upper(named) == "NA")
+    rule = F.when(direction == "DR", F.lit("upi_dr")).when(direction == "CR", F.lit("upi_cr")).otherwise("upi")
+    no_name = _says_nothing(part(3)) | part(3).rlike(r"(?i)^[^A-Z0-9 &'-]*NA[^A-Z0-9 &'-]*$")
     return [
         _static_rule(text, "IDFC First Bank"),
-        Rule(F.when(direction == "DR", F.lit("upi_dr")).when(direction == "CR", F.lit("upi_cr")).otherwise("upi"),
-             (head == "UPI") & text.has(3), "upi",
-             F.when(no_name, F.coalesce(titlecase(extract(part(5), HANDLE)), named)).otherwise(named),
-             ref=part(2), bank=identify_bank(part(4))),
-        Rule("imps", (head == "IMPS") & text.has(3), "imps", titlecase(part(3)), ref=part(2)),
-        _wire_rules(text, 1),
-        Rule("atm_generic", F.startswith(text.upper, F.lit("ATM ")) | F.contains(text.upper, F.lit("ATM WITHDRAWAL")),
-             "atm_hdfc", "ATM Withdrawal", bank="IDFC First Bank"),
+        Rule(rule, (head == "UPI") & text.has(3), "upi",
+             F.when(no_name, F.coalesce(extract(part(5), HANDLE), part(3))).otherwise(part(3)),
+             ref=part(2), tokens=(part(4),)),
+        Rule("imps", (head == "IMPS") & text.has(3), "imps", part(3), ref=part(2)),
+        _wire_rule(text),
+        Rule("atm_generic", text.upper.rlike("^ATM |ATM WITHDRAWAL"), "atm_hdfc", merchant="ATM Withdrawal",
+             bank="IDFC First Bank"),
     ]
 
 
 KOTAK_TRAILING_REF = r"(?i)\s+(?:UPI|MB|IMPS|NEFT|RTGS)-(\d{10,}).*$"
 
 
-def _kotak(text: Text, trailing: Column) -> list[Rule]:
-    core, upper = text.raw, text.upper
+def _kotak(text: Text) -> list[Rule]:
+    core, upper, trailing = text.raw, text.upper, text.trailing
     filled = F.filter(text.parts, lambda p: p != "")
-    part = lambda i: F.get(filled, F.lit(i))
+    second, third = F.get(filled, F.lit(1)), F.get(filled, F.lit(2))
     sent, label = r"(?i)^MB\s+SENT\s+TO\s*(.*)$", r"(?i)^MB\s+(.+)$"
     wire = r"(?i)^(NEFT|RTGS)[-/]([A-Z0-9]+)[-/]?(.*)$"
     bare = r"(?i)^IMPS-(\d+)\s*(.*)$"
-    kind = F.lower(extract(core, wire, 1))
+    kind, own = F.lower(extract(core, wire, 1)), "Kotak Mahindra Bank"
     return [
-        _static_rule(text, "Kotak Mahindra Bank", trailing),
-        Rule("mb_received", F.startswith(upper, F.lit("MB:RECEIVED")), "imps", "Incoming Transfer",
-             ref=trailing, bank="Kotak Mahindra Bank"),
-        Rule("mb_sent_to", core.rlike(sent), "imps",
-             F.coalesce(titlecase(extract(core, sent)), F.lit("Outgoing Transfer")), ref=trailing),
-        Rule("mb_generic", core.rlike(label), "mobile_banking", titlecase(extract(core, label)), ref=trailing),
-        Rule("upi", F.startswith(upper, F.lit("UPI/")), "upi", titlecase(part(1)), ref=trailing),
-        Rule("pcd", F.startswith(upper, F.lit("PCD/")), "pos", titlecase(F.coalesce(part(2), part(1))),
-             ref=F.coalesce(extract(part(1), r"^(\d+)$"), trailing)),
-        Rule(kind, core.rlike(wire), kind, titlecase(extract(core, wire, 3)), ref=extract(core, wire, 2)),
-        Rule("atm", F.contains(upper, F.lit("ATM")) & upper.rlike("CASH|WDL|WITHDRAW"), "atm_other",
-             "ATM Withdrawal", ref=trailing, bank="Kotak Mahindra Bank"),
-        Rule("imps_bare", core.rlike(bare), "imps",
-             F.when(extract(core, bare, 2).isNull(), F.lit("IMPS Transfer")).otherwise(
-                 titlecase(extract(core, bare, 2))), ref=extract(core, bare, 1)),
+        _static_rule(text, own, trailing),
+        Rule("mb_received", upper.rlike("^MB:RECEIVED"), "imps", merchant="Incoming Transfer", ref=trailing, bank=own),
+        Rule("mb_sent_to", core.rlike(sent), "imps", extract(core, sent), otherwise="Outgoing Transfer", ref=trailing),
+        Rule("mb_generic", core.rlike(label), "mobile_banking", extract(core, label), ref=trailing),
+        Rule("upi", upper.rlike("^UPI/"), "upi", second, ref=trailing),
+        Rule("pcd", upper.rlike("^PCD/"), "pos", F.coalesce(third, second),
+             ref=F.coalesce(extract(second, r"^(\d+)$"), trailing)),
+        Rule(kind, core.rlike(wire), kind, extract(core, wire, 3), ref=extract(core, wire, 2)),
+        Rule("atm", upper.rlike("ATM") & upper.rlike("CASH|WDL|WITHDRAW"), "atm_other", merchant="ATM Withdrawal",
+             ref=trailing, bank=own),
+        Rule("imps_bare", core.rlike(bare), "imps", extract(core, bare, 2),
+             otherwise=F.when(extract(core, bare, 2).isNull(), F.lit("IMPS Transfer")), ref=extract(core, bare, 1)),
     ]
 
 
 def _axis(text: Text) -> list[Rule]:
     raw, part, head = text.raw, text.part, text.head()
-    flavour = F.upper(part(1))
     card = r"(?i)^POS/(\d{4,})/([^/]+)(?:/(.+))?$"
     atm = r"(?i)^ATM-?CASH[/\s]*([A-Z ,]+?)(?:[/\s]([A-Z0-9]+))?$"
     cheque = r"(?i)^BRN-CLG-CHQ\s+(PAID|DEPOSIT)\s*(.*)$"
     ecs, cms = r"(?i)^ECS[/-]([A-Z0-9]+)[/-](.+)$", r"(?i)^CMS-([A-Z0-9]+)-(.+)$"
-    legacy = titlecase(F.when(F.upper(part(2)) != "NA", part(2)))
     way = F.lower(extract(raw, cheque, 1))
-    paid = way == "paid"
+    paid, own = way == "paid", "Axis Bank"
+    legacy = F.when(F.upper(part(2)) != "NA", part(2))
     return [
-        _static_rule(text, "Axis Bank"),
+        _static_rule(text, own),
         Rule(F.concat(F.lit("upi_"), F.lower(part(1))),
-             (head == "UPI") & text.has(3) & flavour.isin("P2A", "P2M", "P2P"), "upi",
-             F.coalesce(titlecase(part(3)), titlecase(extract(part(4), HANDLE))), ref=part(2)),
+             (head == "UPI") & text.has(3) & F.upper(part(1)).isin("P2A", "P2M", "P2P"), "upi",
+             F.when(_says_nothing(part(3)), extract(part(4), HANDLE)).otherwise(part(3)), ref=part(2)),
         Rule("upi", (head == "UPI") & text.has(3), "upi",
-             F.coalesce(legacy, titlecase(extract(part(3), HANDLE))), ref=part(1), bank=identify_bank(part(4))),
-        Rule("imps", (head == "IMPS") & text.has(3), "imps", titlecase(part(3)), ref=part(2),
-             bank=identify_bank(part(4))),
-        _wire_rules(text, 1),
-        Rule("inb", (head == "INB") & text.has(2), "ib_xfer",
-             F.when(F.length(part(2)) > 0, titlecase(part(2))).otherwise("Internet Banking Transfer"),
-             ref=part(1), bank="Axis Bank"),
-        Rule("pos", raw.rlike(card), "pos", titlecase(extract(raw, card, 2)), titlecase(extract(raw, card, 3)),
-             card_last4(extract(raw, card, 1))),
-        Rule("atm", raw.rlike(atm), "atm_other", "ATM Withdrawal", titlecase(extract(raw, atm, 1)),
-             ref=extract(raw, atm, 2), bank="Axis Bank"),
+             F.when(_says_nothing(legacy), extract(part(3), HANDLE)).otherwise(legacy), ref=part(1),
+             tokens=(part(4),)),
+        Rule("imps", (head == "IMPS") & text.has(3), "imps", part(3), ref=part(2), tokens=(part(4),)),
+        _wire_rule(text),
+        Rule("inb", (head == "INB") & text.has(2), "ib_xfer", part(2),
+             otherwise=F.when(F.coalesce(part(2), F.lit("")) == "", F.lit("Internet Banking Transfer")),
+             ref=part(1), bank=own),
+        Rule("pos", raw.rlike(card), "pos", extract(raw, card, 2), place=extract(raw, card, 3),
+             card=extract(raw, card, 1)),
+        Rule("atm", raw.rlike(atm), "atm_other", merchant="ATM Withdrawal", place=extract(raw, atm, 1),
+             ref=extract(raw, atm, 2), bank=own),
         Rule(F.concat(F.lit("brn_clg_"), way), raw.rlike(cheque),
-             F.when(paid, F.lit("cheque_paid")).otherwise("cheque_deposit"),
-             F.coalesce(titlecase(extract(raw, cheque, 2)),
-                        F.when(paid, F.lit("Cheque Paid")).otherwise("Cheque Deposit"))),
-        Rule("ecs", raw.rlike(ecs), "ecs", titlecase(extract(raw, ecs, 2)), ref=extract(raw, ecs, 1)),
-        Rule("cms", raw.rlike(cms), "ecs", titlecase(extract(raw, cms, 2)), ref=extract(raw, cms, 1)),
+             F.when(paid, F.lit("cheque_paid")).otherwise("cheque_deposit"), extract(raw, cheque, 2),
+             otherwise=F.when(paid, F.lit("Cheque Paid")).otherwise("Cheque Deposit")),
+        Rule("ecs", raw.rlike(ecs), "ecs", extract(raw, ecs, 2), ref=extract(raw, ecs, 1)),
+        Rule("cms", raw.rlike(cms), "ecs", extract(raw, cms, 2), ref=extract(raw, cms, 1)),
     ]
 
 
@@ -444,72 +446,101 @@ def _sbi(text: Text) -> list[Rule]:
     pos = r"(?i)^TO\s+POS\s+(\d+)[-/\s]*(.+)$"
     cheque_in, cheque_out = r"(?i)^BY\s+CLEARING-(\d+)-(.+)$", r"(?i)^TO\s+CHQ-?(\d+)[-\s]*(.+)$"
     cash = r"(?i)^BY\s+CASH[-\s]*(.+)$"
-    charge = r"SB\s+(SMS|MAB)\s+CHRG"
     address = extract(raw, upi, 1)
-    kind = F.lower(extract(raw, wire, 1))
-    place, branch = titlecase(extract(raw, atm, 2)), titlecase(extract(raw, cash))
-    own = "State Bank of India"
+    kind, own = F.lower(extract(raw, wire, 1)), "State Bank of India"
+    sms = F.when(upper.rlike("SMS"), F.lit("SBI — SMS Charges")).otherwise("SBI — MAB Charges")
     return [
         _static_rule(text, own),
-        Rule("interest_cr", F.contains(upper, F.lit("CREDIT INTEREST")), "interest_credit",
-             "SBI — Savings Interest", bank=own),
-        Rule("interest_dr", F.contains(upper, F.lit("DEBIT INTEREST")), "interest_debit",
-             "SBI — Overdraft Interest", bank=own),
-        Rule("sbi_chg", upper.rlike(charge), "bank_charge",
-             F.when(F.contains(upper, F.lit("SMS")), F.lit("SBI — SMS Charges")).otherwise("SBI — MAB Charges")),
-        Rule("upi", raw.rlike(upi), "upi", titlecase(F.coalesce(extract(address, HANDLE), address)),
-             ref=extract(raw, upi, 2), bank=identify_bank(extract(address, HANDLE, 2))),
-        Rule("imps", raw.rlike(imps), "imps", titlecase(extract(raw, imps, 2)), ref=extract(raw, imps, 1)),
-        Rule(kind, raw.rlike(wire), kind, titlecase(extract(raw, wire, 3)), ref=extract(raw, wire, 2)),
-        Rule("inb", raw.rlike(inb), "ib_xfer", titlecase(extract(raw, inb, 1)), ref=extract(raw, inb, 2), bank=own),
-        Rule("atm", raw.rlike(atm), "atm_other",
-             F.coalesce(F.concat(F.lit("SBI ATM — "), place), F.lit("SBI ATM Withdrawal")), place,
-             card_last4(extract(raw, atm, 3)), extract(raw, atm, 1), own),
-        Rule("pos", raw.rlike(pos), "pos", titlecase(extract(raw, pos, 2)), ref=extract(raw, pos, 1)),
-        Rule("cheque_in", raw.rlike(cheque_in), "cheque_deposit", titlecase(extract(raw, cheque_in, 2)),
+        Rule("interest_cr", upper.rlike("CREDIT INTEREST"), "interest_credit", merchant="SBI — Savings Interest", bank=own),
+        Rule("interest_dr", upper.rlike("DEBIT INTEREST"), "interest_debit", merchant="SBI — Overdraft Interest", bank=own),
+        Rule("sbi_chg", upper.rlike(r"SB\s+(SMS|MAB)\s+CHRG"), "bank_charge", merchant=sms),
+        Rule("upi", raw.rlike(upi), "upi", F.coalesce(extract(address, HANDLE), address), ref=extract(raw, upi, 2),
+             tokens=(extract(address, HANDLE, 2),)),
+        Rule("imps", raw.rlike(imps), "imps", extract(raw, imps, 2), ref=extract(raw, imps, 1)),
+        Rule(kind, raw.rlike(wire), kind, extract(raw, wire, 3), ref=extract(raw, wire, 2)),
+        Rule("inb", raw.rlike(inb), "ib_xfer", extract(raw, inb, 1), ref=extract(raw, inb, 2), bank=own),
+        Rule("atm", raw.rlike(atm), "atm_other", extract(raw, atm, 2), prefix="SBI ATM — ",
+             otherwise="SBI ATM Withdrawal", place=extract(raw, atm, 2), card=extract(raw, atm, 3),
+             ref=extract(raw, atm, 1), bank=own),
+        Rule("pos", raw.rlike(pos), "pos", extract(raw, pos, 2), ref=extract(raw, pos, 1)),
+        Rule("cheque_in", raw.rlike(cheque_in), "cheque_deposit", extract(raw, cheque_in, 2),
              ref=extract(raw, cheque_in, 1)),
-        Rule("cheque_out", raw.rlike(cheque_out), "cheque_paid", titlecase(extract(raw, cheque_out, 2)),
+        Rule("cheque_out", raw.rlike(cheque_out), "cheque_paid", extract(raw, cheque_out, 2),
              ref=extract(raw, cheque_out, 1)),
-        Rule("cash", raw.rlike(cash), "cash_deposit", _titled("Cash Deposit — ", branch), branch),
+        Rule("cash", raw.rlike(cash), "cash_deposit", extract(raw, cash), prefix="Cash Deposit — ",
+             otherwise="Cash Deposit — None", place=extract(raw, cash)),
     ]
 
 
-def _run(rules: list[Rule], unmatched_ref: Column | None = None) -> Column:
-    nothing = Rule("unmatched", F.lit(True), "unknown", ref=unmatched_ref).result()
-    return first_match([(r.when, r.result()) for r in rules], nothing)
-
-
-def _decode_kotak(raw: Column) -> Column:
-    trailing = extract(raw, KOTAK_TRAILING_REF)
-    core = strip(F.regexp_replace(raw, KOTAK_TRAILING_REF, ""))
-    return _run(_kotak(_text(core), trailing), trailing)
-
-
-Decoder = Callable[[Column], Column]
-
-# Registry of decoders; callers may pass their own.
+# A decoder turns a narration into its ordered rules.
+Decoder = Callable[[Text], list[Rule]]
 DECODERS: dict[str, Decoder] = {
-    "hdfc_savings": lambda raw: _run(_hdfc_savings(_text(raw))),
-    "icici": lambda raw: _run(_icici(_text(raw))),
-    "idfc": lambda raw: _run(_idfc(_text(F.regexp_replace(raw, r"\s+", " ")))),
-    "kotak": _decode_kotak,
-    "axis": lambda raw: _run(_axis(_text(raw))),
-    "axis_savings": lambda raw: _run(_axis(_text(raw))),
-    "sbi": lambda raw: _run(_sbi(_text(raw))),
+    "hdfc_savings": _hdfc_savings,
+    "icici": _icici,
+    "idfc": _idfc,
+    "kotak": _kotak,
+    "axis": _axis,
+    "axis_savings": _axis,  # alias
+    "sbi": _sbi,
 }
 
 
-def decode(bank: Column, narration: Column, decoders: dict[str, Decoder] | None = None) -> Column:
-    """Decoded struct of a narration; banks without a decoder give ``no_decoder``."""
-    raw = strip(F.coalesce(narration, F.lit("")))
-    cases = [(bank == key, fn(raw)) for key, fn in (decoders or DECODERS).items()]
-    return first_match(cases, Rule("no_decoder", F.lit(True), "unknown").result())
+def _rule_columns(decoders: Mapping[str, Decoder], key: Column) -> tuple[Column, Column]:
+    """The number of the first matching rule, and the pieces of the rule with that number."""
+    text = Text(*[F.col(name) for name in ("_raw", "_upper", "_compact", "_parts", "_trail")])
+    null, per_bank, pieces, count = _null(), [], [], 0
+    for name, decoder in decoders.items():
+        rules = list(enumerate(decoder(text), start=count))
+        count += len(rules)
+        per_bank.append((key == name, first_match([(r.when, F.lit(i)) for i, r in rules], F.lit(-1))))
+        pieces += [(F.col("_rule") == i, r.pieces(null)) for i, r in rules]
+    nothing = F.when(F.col("_rule") == -2, F.lit("no_decoder")).otherwise("unmatched")
+    unknown = Rule(nothing, F.lit(True), "unknown", ref=F.col("_trail")).pieces(null)
+    return first_match(per_bank, F.lit(-2)), first_match(pieces, unknown)
+
+
+@cache
+def _default_rule_columns(bank: str) -> tuple[Column, Column]:
+    return _rule_columns(DECODERS, F.col(bank))
 
 
 def with_decoded(
-    rows: DataFrame, bank: str = "bank", narration: str = "description", into: str = "decoded"
+    rows: DataFrame,
+    bank: str = "bank",
+    narration: str = "description",
+    into: str = "decoded",
+    decoders: Mapping[str, Decoder] | None = None,
 ) -> DataFrame:
-    return rows.withColumn(into, decode(F.col(bank), F.col(narration)))
+    """Add the decoded struct of a narration; banks without a decoder give ``no_decoder``.
+
+    The work is staged: text views first, then the number of the first matching rule, then the
+    fields of that one rule. Each stage reads plain columns of the one before.
+    """
+    key = F.col(bank)
+    raw = strip(F.coalesce(F.col(narration), F.lit("")))
+    core = first_match(
+        [
+            (key == "kotak", strip(F.regexp_replace(raw, KOTAK_TRAILING_REF, ""))),
+            (key == "idfc", F.regexp_replace(raw, r"\s+", " ")),
+        ],
+        raw,
+    )
+    staged = spread(rows).withColumns(
+        {"_raw": core, "_trail": F.when(key == "kotak", extract(raw, KOTAK_TRAILING_REF))}
+    ).withColumns(
+        {
+            "_upper": F.upper("_raw"),
+            "_compact": squeeze(F.col("_raw")),
+            "_parts": F.transform(F.split("_raw", "/"), strip),
+        }
+    )
+    number, pieces = _rule_columns(decoders, key) if decoders else _default_rule_columns(bank)
+    return (
+        staged.withColumn("_rule", number)
+        .withColumn("_pieces", pieces)
+        .withColumn(into, _finish(F.col("_pieces")))
+        .drop("_raw", "_trail", "_upper", "_compact", "_parts", "_rule", "_pieces")
+    )
 
 
 def is_decoded(rule: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from casetrail.functions.dates import iso_date
 from casetrail.functions.logic import first_match
-from casetrail.functions.text import blank_to_null, contains_any, count_chars, extract, strip
+from casetrail.functions.text import (
+    blank_to_null, contains_any, count_chars, extract, null_if_empty, strip,
+)
 
 # Channel tokens, category keywords and narration noise words.
 CHANNEL_TOKENS = (
@@ -51,7 +53,7 @@ def infer_counterparty(description: Column) -> Column:
     text = F.regexp_replace(text, r"[-/]\d{6,}.*$", "")
     text = F.regexp_replace(text, r"-\d{4}-\d{10,}", "")
     head = strip(F.regexp_extract(strip(text), r"^[^-/@]*", 0))
-    return F.coalesce(F.nullif(F.substring(head, 1, 50), F.lit("")), F.lit(UNKNOWN_PARTY))
+    return F.coalesce(null_if_empty(F.substring(head, 1, 50)), F.lit(UNKNOWN_PARTY))
 
 
 def counterparty_from_description(description: Column) -> Column:
@@ -65,11 +67,11 @@ def counterparty_from_description(description: Column) -> Column:
 
     parts = F.transform(F.split(text, r"[/|]"), strip)
     first = F.get(F.filter(parts, reads_like_name), F.lit(0))
-    trimmed = F.nullif(strip(F.regexp_replace(first, r"[-\s]+\d{6,}.*$", "")), F.lit(""))
+    trimmed = null_if_empty(strip(F.regexp_replace(first, r"[-\s]+\d{6,}.*$", "")))
     chosen = F.substring(F.coalesce(trimmed, first), 1, 80)
     inferred = infer_counterparty(description)
     fallback = F.when(inferred != UNKNOWN_PARTY, inferred).otherwise(
-        F.coalesce(F.nullif(F.substring(description, 1, 60), F.lit("")), F.lit(UNKNOWN_PARTY))
+        F.coalesce(null_if_empty(F.substring(description, 1, 60)), F.lit(UNKNOWN_PARTY))
     )
     return F.coalesce(chosen, fallback)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.functions.logic import first_match
-from casetrail.functions.text import extract, squeeze, strip
+from casetrail.functions.text import extract, null_if_empty, squeeze, strip
 from casetrail.session import spread
 
 # Bank short codes and IFSC prefixes.
@@ -152,7 +152,7 @@ def titlecase(name: Column) -> Column:
         acronym = (F.length(word) <= 4) & word.rlike("[A-Z]") & ~word.rlike("[a-z]")
         return F.when(acronym, word).otherwise(F.initcap(word))
 
-    return F.nullif(F.array_join(F.transform(words, spell), " "), F.lit(""))
+    return null_if_empty(F.array_join(F.transform(words, spell), " "))
 
 
 def strip_tails(name: Column, tails: tuple[str, ...] = MERCHANT_TAILS) -> Column:
@@ -343,7 +343,7 @@ def _icici(text: Text) -> list[Rule]:
         Rule("upi", (head == "UPI") & text.has(3), "upi", F.when(generic, address).otherwise(purpose),
              ref=part(1), tokens=(part(4),)),
         Rule("mmt_imps", (head == "MMT") & text.has(3) & (F.upper(part(1)) == "IMPS"), "imps",
-             F.coalesce(F.nullif(part(4), F.lit("")), part(3)), ref=part(2), tokens=(part(5),)),
+             F.coalesce(null_if_empty(part(4)), part(3)), ref=part(2), tokens=(part(5),)),
         Rule("bil_inft", (head == "BIL") & (F.upper(part(1)) == "INFT"), "ib_xfer", F.when(~no_note, part(3)),
              otherwise=F.when(no_note, F.lit("Internet Banking Transfer")), ref=part(2), bank="ICICI Bank"),
         Rule("bil_bpay", (head == "BIL") & (F.upper(part(1)) == "BPAY"), "bill_pay", part(3), ref=part(2)),
@@ -567,7 +567,7 @@ def stitch(rows: DataFrame, decoded: str = "decoded") -> DataFrame:
         rule.isin(*HARD_RULES) | F.startswith(rule, F.lit("atm")) | F.startswith(rule, F.lit("ib_xfer"))
     )
     mapped = ledger_channel(d["channel"])
-    given = F.nullif(F.lower(strip(F.col("counterparty"))), F.lit(""))
+    given = null_if_empty(F.lower(strip(F.col("counterparty"))))
 
     def words(text: Column) -> Column:
         return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -575,10 +575,10 @@ def stitch(rows: DataFrame, decoded: str = "decoded") -> DataFrame:
     disagrees = given.isNull() | ~F.arrays_overlap(words(given), words(d["merchant"]))
 
     def fill(name: str) -> Column:
-        return F.coalesce(F.nullif(F.col(name), F.lit("")), F.when(hit, F.nullif(d[name], F.lit(""))), F.col(name))
+        return F.coalesce(null_if_empty(F.col(name)), F.when(hit, null_if_empty(d[name])), F.col(name))
 
     channel = F.when(hard & mapped.isNotNull(), mapped).otherwise(
-        F.coalesce(F.nullif(F.col("channel"), F.lit("")), F.when(hit, mapped), F.col("channel"))
+        F.coalesce(null_if_empty(F.col("channel")), F.when(hit, mapped), F.col("channel"))
     )
     party = F.when(
         hard & (F.length(d["merchant"]) > 0) & disagrees, d["merchant"]

@@ -17,14 +17,20 @@ def strip_chars(value: Column, chars: str) -> Column:
     return F.trim(value, F.lit(chars))
 
 
+def null_if_empty(value: Column) -> Column:
+    """Null for the empty text. ``value`` is evaluated once, so calls can be nested freely."""
+    return F.get(F.array_remove(F.array(value), ""), F.lit(0))
+
+
 def blank_to_null(value: Column) -> Column:
     """Trimmed text, or null when nothing is left."""
-    return F.nullif(strip(value), F.lit(""))
+    return null_if_empty(strip(value))
 
 
 def extract(value: Column, pattern: str, group: int = 1) -> Column:
-    """Regex group, null where the pattern or the group does not match."""
-    return F.nullif(F.regexp_extract(value, pattern, group), F.lit(""))
+    """First non-empty match of a regex group, else null. ``value`` is evaluated once."""
+    found = F.regexp_extract_all(value, F.lit(pattern), F.lit(group))
+    return F.get(F.array_remove(found, ""), F.lit(0))
 
 
 def fields(value: Column, pattern: str, groups: int) -> Column:

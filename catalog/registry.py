@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detectors", "narrations")
+MODULES = ("detectors", "narrations", "text")
 
 
 def _collect(attribute: str) -> dict:

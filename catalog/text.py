@@ -60,7 +60,7 @@ def _narr(select: str) -> str:
 
 
 
-X = F.col("description")
+X = lambda: F.col("description")  # noqa: E731 - a Column needs a session
 
 _DATE_FORMS = (
     "CASE o_orderkey % 8 WHEN 0 THEN {f0} WHEN 1 THEN {f1} WHEN 2 THEN {f2} WHEN 3 THEN {f3} WHEN 4 THEN {f4} "
@@ -103,8 +103,8 @@ _MOMENTS = """SELECT event_id AS id, CASE event_id % 7 WHEN 1 THEN epoch_us(date
 
 
 def _flags(spark, sf):
-    rows = NAR.narrations(spark, sf).withColumn("party", enrich.infer_counterparty(X)).withColumn(
-        "channel", enrich.infer_channel(X)
+    rows = NAR.narrations(spark, sf).withColumn("party", enrich.infer_counterparty(X())).withColumn(
+        "channel", enrich.infer_channel(X())
     )
     own = F.when(F.col("id") % 3 == 0, True).when(F.col("id") % 3 == 1, False)
     return rows.select(
@@ -115,14 +115,14 @@ def _flags(spark, sf):
 
 def _entities(spark, sf):
     given = F.when(F.col("id") % 2 == 0, F.col("nm"))
-    rows = NAR.narrations(spark, sf).withColumn("channel", enrich.infer_channel(X)).withColumn(
-        "party", enrich.prefer(given, enrich.infer_counterparty(X))
+    rows = NAR.narrations(spark, sf).withColumn("channel", enrich.infer_channel(X())).withColumn(
+        "party", enrich.prefer(given, enrich.infer_counterparty(X()))
     )
     level = enrich.confidence(F.col("party"), F.col("channel"))
     built = rows.withColumn(
         "m",
         enrich.entities_map(
-            F.col("channel"), F.col("party"), enrich.infer_category(X), F.col("id") % 2 == 0, level
+            F.col("channel"), F.col("party"), enrich.infer_category(X()), F.col("id") % 2 == 0, level
         ),
     )
     flat = built.select("id", "ln", F.explode("m").alias("name", "v"))
@@ -176,7 +176,7 @@ def _header(*columns):
     return lambda s, d: R.statement_texts(s, d).select("statement_id", *[c() for c in columns])
 
 
-TEXT = F.col("text")
+TEXT = lambda: F.col("text")
 _HOLDER = f"CASE {_L} WHEN 2 THEN 'STATEMENTSUMMARY' WHEN 5 THEN 'SOME OTHER LENDER' ELSE {_NAME} END"
 _PERSONS_SQL = (
     "SELECT c_custkey AS person_id, c_custkey % 25 AS case_id, "
@@ -194,7 +194,7 @@ def _persons(spark, sf):
 
 def _match(spark, sf):
     texts = R.statement_texts(spark, sf).select(
-        "statement_id", "case_id", headers.guess_holder_name(TEXT).alias("holder")
+        "statement_id", "case_id", headers.guess_holder_name(TEXT()).alias("holder")
     )
     return preview.suggest_person(texts, _persons(spark, sf)).select("statement_id", "person_id")
 
@@ -215,7 +215,7 @@ _KIND = f"CASE {_L} WHEN 0 THEN 'CC' WHEN 1 THEN 'CA' WHEN 2 THEN 'SA' WHEN 3 TH
 
 
 def _balances(spark, sf):
-    opening, closing = headers.guess_balances(TEXT)
+    opening, closing = headers.guess_balances(TEXT())
     return R.statement_texts(spark, sf).select(
         "statement_id", opening.cast("double").alias("opening"), closing.cast("double").alias("closing")
     )
@@ -263,11 +263,11 @@ _OCR = """WITH RECURSIVE w AS (SELECT l_orderkey AS page_id, l_partkey % 97 AS y
 
 QUERIES = {
     "e1_infer_channel": lambda s, d: doc(s, d).select("doc_id", enrich.infer_channel(F.col("text")).alias("channel")),
-    "e1_infer_channel_narrations": lambda s, d: NAR.narrations(s, d).select("id", "ln", enrich.infer_channel(X).alias("channel")),
-    "e2_infer_category": lambda s, d: NAR.narrations(s, d).select("id", "ln", enrich.infer_category(X).alias("category")),
+    "e1_infer_channel_narrations": lambda s, d: NAR.narrations(s, d).select("id", "ln", enrich.infer_channel(X()).alias("channel")),
+    "e2_infer_category": lambda s, d: NAR.narrations(s, d).select("id", "ln", enrich.infer_category(X()).alias("category")),
     "e2_infer_category_documents": lambda s, d: doc(s, d).select("doc_id", enrich.infer_category(F.col("text")).alias("category")),
-    "e3_infer_counterparty": lambda s, d: NAR.narrations(s, d).select("id", "ln", enrich.infer_counterparty(X).alias("party")),
-    "e4_counterparty_from_description": lambda s, d: NAR.narrations(s, d).select("id", "ln", enrich.counterparty_from_description(X).alias("party")),
+    "e3_infer_counterparty": lambda s, d: NAR.narrations(s, d).select("id", "ln", enrich.infer_counterparty(X()).alias("party")),
+    "e4_counterparty_from_description": lambda s, d: NAR.narrations(s, d).select("id", "ln", enrich.counterparty_from_description(X()).alias("party")),
     "e7_confidence_and_flags": _flags,
     "e8_entities_map": _entities,
     "e6_iso_date": lambda s, d: _dates(s, d).select("id", dates.iso_date(F.col("raw")).alias("value")),
@@ -291,7 +291,7 @@ QUERIES = {
     "e25_to_dr_cr": lambda s, d: doc(s, d).select("doc_id", enrich.to_dr_cr(F.element_at(F.array(*[F.lit(x) for x in ("Dr", "Cr", "debit", "credit", "x")]), (F.col("doc_id") % 5 + 1).cast("int"))).alias("direction")),
     "e26_node_sublabel": lambda s, d: T.table(s, d, "customer").select(
         F.col("c_custkey").alias("id"), display.node_sublabel(F.element_at(F.array(F.lit("person"), F.lit("account"), F.lit("entity")), (F.col("c_custkey") % 3 + 1).cast("int")), F.col("c_nationkey"), F.when(F.col("c_custkey") % 2 == 0, F.lit("ABCDE"))).alias("label")),
-    "p1_detect_bank": _header(lambda: parsing.detect_bank(TEXT).alias("bank")),
+    "p1_detect_bank": _header(lambda: parsing.detect_bank(TEXT()).alias("bank")),
     "p2_clean_amount": lambda s, d: T.ledger(s, d).select("id", dates.clean_amount(F.concat(F.lit(" "), F.format_number("amount", 2))).cast("double").alias("amount")),
     "p4_hdfc_card": _parsed("hdfc_cc"),
     "p5_idfc": _parsed("idfc"),
@@ -299,11 +299,11 @@ QUERIES = {
     "p7_icici": _parsed("icici"),
     "p8_kotak": _parsed("kotak"),
     "p10_parse_text": _parsed(None),
-    "p11_guess_period": lambda s, d: R.statement_texts(s, d).select("statement_id", headers.guess_period(TEXT)[0].alias("p_start"), headers.guess_period(TEXT)[1].alias("p_end")),
+    "p11_guess_period": lambda s, d: R.statement_texts(s, d).select("statement_id", headers.guess_period(TEXT())[0].alias("p_start"), headers.guess_period(TEXT())[1].alias("p_end")),
     "p12_period": lambda s, d: preview.statement_preview(R.statement_texts(s, d)).select("statement_id", "period_start", "period_end"),
-    "p14_guess_account_number": _header(lambda: headers.guess_account_number(TEXT).alias("account")),
+    "p14_guess_account_number": _header(lambda: headers.guess_account_number(TEXT()).alias("account")),
     "p15_guess_balances": _balances,
-    "p16_guess_holder_name": _header(lambda: headers.guess_holder_name(TEXT).alias("holder")),
+    "p16_guess_holder_name": _header(lambda: headers.guess_holder_name(TEXT()).alias("holder")),
     "p17_suggest_person": _match,
     "p18_statement_preview": lambda s, d: preview.statement_preview(R.statement_texts(s, d), _persons(s, d)),
     "p19_extraction_envelope": _envelope,

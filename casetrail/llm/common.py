@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,27 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def document_frequencies(
+    source: DataFrame, wanted: list[bytes], words_of: Callable[[bytes | None], list[bytes]]
+) -> tuple[int, np.ndarray]:
+    """Number of all rows of ``source.text``, and of those that hold each wanted term."""
+    place = {t: k for k, t in enumerate(wanted)}
+
+    def work(slices):
+        numbers, total = [0] * len(wanted), 0
+        for s in slices:
+            for text in s["text"]:
+                for w in place.keys() & words_of(text):
+                    numbers[place[w]] += 1
+            total += len(s["text"])
+        yield {"key": [-1, *range(len(wanted))], "n": [total, *numbers]}
+
+    fields = [T.StructField("key", T.IntegerType()), T.StructField("n", T.LongType())]
+    rows = map_rows(source.select("text"), fields, work).groupBy("key").agg(F.sum("n")).collect()
+    found = dict(map(tuple, rows))
+    return found.get(-1, 0), np.array([found.get(k, 0) for k in range(len(wanted))], "f8")
+
+
 # --- sums over documents of values kept in a dictionary -----------------------------------------
 
 

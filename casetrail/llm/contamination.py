@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,15 +102,16 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    keep: dict[str, Column] | None = None,
     width: int = 13,
-    share: float = 0.05,
+    least_percent: int = 5,
     patterns_at_once: int = 200_000,
 ) -> DataFrame:
     """Occurrences of test items in documents.
 
-    One row per document row: ``doc_id, n_words, n_hit, items`` (sorted as text), ``spans`` (runs
-    of hit words as character offsets of the original text, with their number of words) and
-    ``contaminated`` (hit words, and at least ``share`` of all words).
+    One row per document row: ``doc_id``, the columns of ``keep``, ``n_words, n_hit, items`` (sorted
+    as text), ``spans`` (runs of hit words: character offsets of the original text, first word and
+    number of words) and ``contaminated`` (hit words, and at least ``least_percent`` of all words).
 
     The windows of the benchmark are sent to every task. Up to ``patterns_at_once`` windows make
     one automaton; a larger benchmark is cut into several, each of which scans the documents, so
@@ -126,9 +127,10 @@ def decontaminate(
     total = by_window.count()
     slices = max(1, -(-total // patterns_at_once))
     sliced = by_window.withColumn("slice", F.pmod(F.xxhash64("window"), F.lit(slices)))
-    source = texts(docs, id_col, text_col)
+    source = texts(docs, id_col, text_col, *[c.alias(n) for n, c in (keep or {}).items()])
+    kept = [f for f in source.schema.fields if f.name != "text"]
     fields = [
-        T.StructField("doc_id", source.schema["doc_id"].dataType),
+        *kept,
         T.StructField("n_words", T.LongType()),
         T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("spans", T.ArrayType(SPAN)),
@@ -142,8 +144,7 @@ def decontaminate(
             machine = Automaton(sent.value)
             for s in slices_:
                 found = [machine.scan(t) for t in s["text"]]
-                made = {
-                    "doc_id": s["doc_id"],
+                made = {f.name: s[f.name] for f in kept} | {
                     "n_words": [n for n, _, _ in found],
                     "items": [sorted(i) for _, i, _ in found],
                     "spans": [[dict(zip(SPAN.names, x)) for x in spans] for _, _, spans in found],
@@ -159,14 +160,14 @@ def decontaminate(
             "n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"])
         )
     else:
-        found = _merged([scan(part, True) for part in range(slices)])
-    hit = (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))
-    if share == 0.05:  # the exact form of the default
-        hit = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return found.select("doc_id", "n_words", "n_hit", "items", "spans", hit.alias("contaminated"))
+        found = _merged([scan(part, True) for part in range(slices)], [f.name for f in kept])
+    hit = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= least_percent * F.col("n_words"))
+    return found.select(
+        *[f.name for f in kept], "n_words", "n_hit", "items", "spans", hit.alias("contaminated")
+    )
 
 
-def _merged(parts: list[DataFrame]) -> DataFrame:
+def _merged(parts: list[DataFrame], names: list[str]) -> DataFrame:
     """Join the finds of several automata over the same rows: spans are united by offsets.
 
     A run's words are counted again from the united runs, so overlapping finds count once.
@@ -175,7 +176,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     for other in parts[1:]:
         frame = frame.unionByName(other)
     rows = frame.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
+        *[F.first(n).alias(n) for n in names],
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.flatten(F.collect_list("spans")).alias("spans"),
@@ -184,12 +185,12 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     def work(slices):
         for s in slices:
             united = [unite([tuple(x[n] for n in SPAN.names) for x in spans]) for spans in s["spans"]]
-            yield {k: s[k] for k in ("doc_id", "n_words", "items")} | {
+            yield {k: s[k] for k in (*names, "n_words", "items")} | {
                 "spans": [[dict(zip(SPAN.names, x)) for x in spans] for spans in united],
                 "n_hit": [sum(x[3] for x in spans) for spans in united],
             }
 
-    fields = [rows.schema[n] for n in ("doc_id", "n_words", "items", "spans")]
+    fields = [rows.schema[n] for n in (*names, "n_words", "items", "spans")]
     return map_rows(rows.drop("row"), [*fields, T.StructField("n_hit", T.LongType())], work)
 
 

@@ -59,14 +59,15 @@ class Automaton:
         self.machine = ahocorasick.Automaton()
         for k, (pattern, _) in enumerate(patterns):
             self.machine.add_word(pattern.decode("latin-1"), k)
-        self.machine.make_automaton()
+        if patterns:
+            self.machine.make_automaton()
 
     def scan(self, text: bytes | None) -> tuple[int, set[str], list[tuple]]:
         """Number of words, items found, and runs of hit words as spans of characters."""
         folded = (text or b"").translate(FOLD)
         words = folded.split()
-        if not words:
-            return 0, set(), []
+        if not words or not len(self.words):
+            return len(words), set(), []
         joined = b" " + b" ".join(words) + b" "
         found = list(self.machine.iter(joined.decode("latin-1")))
         if not found:

@@ -149,6 +149,8 @@ class Network:
     def pooled(self, many: list[bytes]) -> np.ndarray:
         """Mean probabilities over all letters of each text; texts of any length, whole."""
         sums = np.zeros((len(many), len(self.labels)))
+        if not self.labels:
+            return sums
         numbers = np.zeros(len(many))
         held, owners, size = [], [], 0
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from casetrail.functions.logic import first_match
 from casetrail.functions.text import extract, null_if_empty, squeeze, strip
-from casetrail.session import spread
 
 # Bank short codes and IFSC prefixes.
 BANK_CODES = {
@@ -525,7 +524,7 @@ def with_decoded(
         ],
         raw,
     )
-    staged = spread(rows).withColumns(
+    staged = rows.withColumns(
         {"_raw": core, "_trail": F.when(key == "kotak", extract(raw, KOTAK_TRAILING_REF))}
     ).withColumns(
         {

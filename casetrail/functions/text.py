@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def strip(value: Column) -> Column:
-    """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    """Remove leading and trailing white space of any kind, no-break spaces included."""
+    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def strip_chars(value: Column, chars: str) -> Column:
@@ -28,9 +28,8 @@ def blank_to_null(value: Column) -> Column:
 
 
 def extract(value: Column, pattern: str, group: int = 1) -> Column:
-    """First non-empty match of a regex group, else null. ``value`` is evaluated once."""
-    found = F.regexp_extract_all(value, F.lit(pattern), F.lit(group))
-    return F.get(F.array_remove(found, ""), F.lit(0))
+    """A group of the first match; null without a match or where the group is empty."""
+    return null_if_empty(F.regexp_extract(value, pattern, group))
 
 
 def fields(value: Column, pattern: str, groups: int) -> Column:

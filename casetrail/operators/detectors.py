@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casetrail.functions.text import strip
 from casetrail.operators import bands, timeline
 
 # Flag names, in detector order.
@@ -157,7 +158,7 @@ def round_trip(
     """Credit and debit of similar size with one counterparty on one day."""
     party = F.coalesce(
         F.nullif(F.col("counterparty"), F.lit("")),
-        F.substring(F.trim(F.coalesce(F.col("raw_description"), F.lit(""))), 1, 20),
+        F.substring(strip(F.coalesce(F.col("raw_description"), F.lit(""))), 1, 20),
     )
     keys = ["account_id", "txn_date", "_party"]
     rows = ledger.filter(F.col("amount") >= min_amount).select(

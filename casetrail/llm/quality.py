@@ -190,7 +190,7 @@ def without_common_lines(
 SQL = """
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, host, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 i AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS k FROM w WHERE len(words) >= 5),
 g AS (SELECT doc_id, k, array_to_string(words[k:k+4], ' ') AS win FROM i),
 h AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g),

@@ -217,3 +217,21 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item, words, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS k FROM b WHERE len(words) > 0),
+p AS (SELECT DISTINCT item, least(13, len(words)) AS l, array_to_string(words[k:k+12], ' ') AS win FROM i),
+s AS (SELECT DISTINCT l FROM p),
+d AS (SELECT doc_id, words, l, unnest(range(1, len(words) - l + 2)) AS k FROM w, s WHERE len(words) >= l),
+g AS (SELECT doc_id, k, l, array_to_string(words[k:k+l-1], ' ') AS win FROM d),
+h AS (SELECT doc_id, k, g.l, item FROM g JOIN p ON p.l = g.l AND p.win = g.win),
+o AS (SELECT doc_id, k, unnest(range(0, l)) AS o FROM h),
+n AS (SELECT doc_id, count(DISTINCT k + o) AS n_hit FROM o GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS held FROM h GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(held, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id
+"""

@@ -92,4 +92,8 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_licenses, op3_ngram_join, op4_byte_bpe, op5_quality_rules, op6_ppm_scores,
     op7_language_id, op8_token_counts, op9_decontamination, op10_url_filter,
 )}
-ORACLES: dict[str, str] = {"op3_ngram_join": ngram_join.SQL, "op5_quality_rules": quality.SQL}
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": ngram_join.SQL,
+    "op5_quality_rules": quality.SQL,
+    "op9_decontamination": contamination.SQL,
+}

@@ -20,12 +20,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.4
 
 
-def _by_row(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` has a verdict to keep; null ids match each other."""
-    kept = verdicts.select(F.col("doc_id").alias("key")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["key"]), "left_semi").select(*COLUMNS)
-
-
 def _carried() -> dict:
     return {"was_" + c: F.col(c) for c in COLUMNS if c != "doc_id"}
 
@@ -49,10 +43,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group; documents without an id stay."""
+    """Keep the document with the smallest id of each group, once; documents without an id stay."""
     groups = ngram_join.ngram_join(docs)
-    first = groups.filter("doc_id IS NULL OR doc_id = component_id")
-    return _by_row(docs, first).dropDuplicates(["doc_id", "text"])
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

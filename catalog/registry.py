@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detectors", "narrations", "text", "cases", "velocity", "entities")
+MODULES = ("detectors", "narrations", "text", "cases", "velocity", "entities", "graph")
 
 
 def _collect(attribute: str) -> dict:

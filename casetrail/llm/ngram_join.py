@@ -29,7 +29,8 @@ FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2
 # Shingles whose hash lies below this share of all hashes are counted over the corpus, which gives
 # the order; it must be well above the share of a prefix (1 - t).
 COUNTED = int(0.3 * 2**64)
-BLOCK = 32  # members of a block
+BLOCK = 128  # members of a block, on average
+ASKING = 4096  # classes that ask for a block in one task, on average
 BUCKETS = 1 << 22  # of the fixed-size filter on rows whose text is needed again
 
 
@@ -105,7 +106,9 @@ def _profiles(source: DataFrame) -> DataFrame:
 
 
 def _rare_first(source: DataFrame, percent: int) -> DataFrame:
-    """``(token, class, n)``: each class's prefix, as far as other classes hold the shingle.
+    """``(token, class, n, rest, alone)``: each class's prefix, as far as other classes hold the
+    shingle. ``rest`` is how many of its shingles come later in the order, ``alone`` how many of
+    those counted no other class has.
 
     Each task gives a class once; copies in other tasks repeat its rows, which changes counts but
     not what is found, as every row of a shingle sees the same count.
@@ -155,7 +158,10 @@ def _rare_first(source: DataFrame, percent: int) -> DataFrame:
             "place": F.row_number().over(order),
         }
     )
-    return ranked.filter(F.col("alone") + F.col("place") <= prefix).select("token", "class", size.alias("n"))
+    rank = (F.col("alone") + F.col("place")).cast("long")
+    return ranked.filter(rank <= prefix).select(
+        "token", "class", size.alias("n"), (size - rank).alias("rest"), F.col("alone").cast("long").alias("alone")
+    )
 
 
 def _comparable(a, b, percent: int):
@@ -163,6 +169,13 @@ def _comparable(a, b, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
+def _reachable(rest_a, rest_b, size_a, size_b, percent: int):
+    """Whether two sets can be similar if this shingle is the first that they share: it and what
+    comes later in both must make up the intersection that the similarity needs. A similar pair
+    passes at its first common shingle, so the test may be made at each shingle by itself."""
+    return (100 + percent) * (F.least(rest_a, rest_b) + 1) >= percent * (size_a + size_b)
+
+
 class Lookup:
     """Texts of chosen classes, read again from the documents."""
 
@@ -213,33 +226,89 @@ def _verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return map_rows(both, [T.StructField("a", LONG), T.StructField("b", LONG)], work)
 
 
+class Block:
+    """Members of a block as one sorted list of shingles with their owners."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.classes = [c for c, _, _ in members]
+        self.roots = [r for _, r, _ in members]
+        self.sizes = np.array([len(t) for *_, t in members])
+        tokens = np.concatenate([t for *_, t in members])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens = tokens[order]
+        self.owners = np.repeat(np.arange(len(members)), self.sizes)[order]
+
+    def similar(self, tokens: np.ndarray, percent: int) -> list[int]:
+        """Members similar to a set; nobody is looked at if the union holds too few of it."""
+        low = np.searchsorted(self.tokens, tokens, "left")
+        many = np.searchsorted(self.tokens, tokens, "right") - low
+        if np.count_nonzero(many) < needed(len(tokens), percent):
+            return []
+        # The places of all equal shingles: each run from its first place on.
+        steps = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        both = np.bincount(self.owners[np.repeat(low, many) + steps], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= percent * (len(tokens) + self.sizes - both)).tolist()
+
+
 def _open_blocks(pairs: DataFrame, members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` is ``(a, block)``: compare class ``a`` with the members of blocks whose union holds
-    enough of its shingles. A block has a bounded number of members."""
-    texts_of = members.join(held, "class").groupBy("block", "class").agg(F.first("text").alias("text"))
-    packed = texts_of.groupBy("block").agg(F.collect_list(F.struct("class", "text")).alias("members"))
-    left = held.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(left, "a").join(packed, "block").select("block", "a", "text_a", "members")
+    """``pairs`` is ``(a, root, block)``: compare class ``a`` with the members of blocks whose union
+    holds enough of its shingles; ``members`` is ``(class, root, block)``.
+
+    The members of a block, whose number is bounded, come first in their partition and the classes
+    that ask stream past them. A block that very many ask for is dealt to several tasks.
+    """
+    asked = pairs.groupBy("block").agg(F.ceil(F.count("*") / ASKING).alias("parts"))
+    columns = ["block", "part", "asks", "class", "root", "text"]
+    inside = (
+        members.join(asked, "block")
+        .join(held, "class")
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .withColumn("asks", F.lit(False))
+    )
+    asking = (
+        pairs.withColumnRenamed("a", "class")
+        .join(asked, "block")
+        .join(held, "class")
+        .withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
+        .withColumn("asks", F.lit(True))
+    )
+    stream = (
+        inside.select(*columns)
+        .union(asking.select(*columns))
+        .repartition("block", "part")
+        .sortWithinPartitions("block", "part", "asks")
+    )
 
     def work(slices):
-        hashes, last, sets, union = Hashes(), None, [], None
+        hashes, last, members, block = Hashes(), None, {}, None
+        parent: dict[int, int] = {}
+
+        def top(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
         for s in slices:
             out = {"a": [], "b": []}
-            for block, a, one, inside in zip(s["block"], s["a"], s["text_a"], s["members"]):
-                if block != last:
-                    last = block
-                    sets = [(m["class"], shingles(m["text"], hashes)) for m in inside]
-                    union = np.unique(np.concatenate([t for _, t in sets]))
-                tokens = shingles(one, hashes)
-                if shared(tokens, union) < needed(len(tokens), percent):
+            for name, part, asks, own, root, text in zip(*(s[n] for n in columns)):
+                if (name, part) != last:
+                    last, members, block = (name, part), {}, None
+                tokens = shingles(text, hashes)
+                if not asks:
+                    members[own] = (own, root, tokens)
                     continue
-                for b, other in sets:
-                    if similar(tokens, other, percent):
-                        out["a"].append(a)
-                        out["b"].append(b)
+                block = block or Block(list(members.values()))
+                for k in block.similar(tokens, percent):
+                    # Roots name classes: what this task has found connected needs no second link.
+                    mine, its = top(root), top(block.roots[k])
+                    if mine != its:
+                        parent[mine] = its
+                        out["a"].append(own)
+                        out["b"].append(block.classes[k])
             yield out
 
-    return map_rows(both, [T.StructField("a", LONG), T.StructField("b", LONG)], work)
+    return map_rows(stream, [T.StructField("a", LONG), T.StructField("b", LONG)], work)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,12 +342,14 @@ def find_links(source: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     by similar pairs. ``classes`` is ``(class, row)``."""
     prefixes = saved(_rare_first(source, percent))
     lookup = Lookup(source, classes)
-    # Groups: every class against the first one of each of its lists.
+    # Groups: every class against one of each of its lists, the one with the fewest shingles of its
+    # own, which is nearest to what the others were copied from.
     first = Window.partitionBy("token")
-    pivot = prefixes.withColumn("p", F.min(F.struct("class", "n")).over(first))
+    pivot = prefixes.withColumn("p", F.min(F.struct("alone", "class", "n", "rest")).over(first))
     stars = (
         pivot.filter(F.col("class") != F.col("p.class"))
         .filter(_comparable(F.col("n"), F.col("p.n"), percent))
+        .filter(_reachable(F.col("rest"), F.col("p.rest"), F.col("n"), F.col("p.n"), percent))
         .select(F.col("class").alias("a"), F.col("p.class").alias("b"))
         .distinct()
     )
@@ -287,42 +358,42 @@ def find_links(source: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     held = lookup.of(ends)
     near = saved(_verify(stars, held, percent))
     groups = components(near)
-    # Blocks of groups. Classes without a link so far are groups of their own.
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    grouped = groups.join(sizes, "root").select("class", "root", "members")
-    rows = prefixes.join(grouped, "class", "left").select(
-        "token",
-        "class",
-        "n",
-        F.coalesce("root", "class").alias("root"),
-        F.coalesce("members", F.lit(1)).alias("members"),
+    # Blocks. Linked classes make a group; the others join the group of the class that they were
+    # compared with, in blocks apart, so that most blocks of a group have one root.
+    families = pivot.groupBy("class").agg(F.min("p").alias("p")).select("class", F.col("p.class").alias("near"))
+    grouped = saved(
+        families.join(groups, "class", "left").select(
+            "class",
+            F.coalesce("root", "class").alias("root"),
+            F.xxhash64(F.coalesce("root", "near"), F.col("root").isNotNull()).alias("group"),
+        )
     )
-    blocks = F.ceil(F.col("members") / BLOCK)
-    block = F.xxhash64("root", F.pmod(F.xxhash64("class"), blocks))
-    rows = saved(rows.withColumn("block", block))
-    # Lists with one group only are done.
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    part = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    placed = grouped.join(sizes, "group").select("class", "root", F.xxhash64("group", part).alias("block"))
+    rows = saved(prefixes.select("token", "class", "n", "rest").join(placed, "class"))
+    # Lists with one root only are done.
     spread = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
     open_rows = rows.join(spread.select("token"), "token")
-    matrix = open_rows.groupBy("token", "block").agg(
-        F.first("root").alias("of"),
-        F.first("members").alias("of_members"),
+    # The token-group matrix, with what bounds the members of a block at this shingle.
+    matrix = open_rows.groupBy("token", F.col("block").alias("other")).agg(
+        F.min("root").alias("root_low"),
+        F.max("root").alias("root_high"),
         F.min("n").alias("low"),
         F.max("n").alias("high"),
+        F.max("rest").alias("most"),
     )
-    # The member of the smaller group asks; of two equal ones that with the smaller label.
-    smaller = (F.col("members") < F.col("of_members")) | (
-        (F.col("members") == F.col("of_members")) & (F.col("root") < F.col("of"))
-    )
+    # Each pair of blocks is looked at from one side; a block also looks at itself.
+    new = (F.col("root_low") != F.col("root_high")) | (F.col("root_low") != F.col("root"))
     fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
-    asked = (
-        open_rows.select("token", "class", "n", "root", "members")
-        .join(matrix, "token")
-        .filter(smaller & fits & (F.col("root") != F.col("of")))
-        .select(F.col("class").alias("a"), "block")
+    reach = _reachable(F.col("rest"), F.col("most"), F.col("n"), F.col("low"), percent)
+    asked = saved(
+        open_rows.join(matrix, "token")
+        .filter((F.col("block") <= F.col("other")) & new & fits & reach)
+        .select(F.col("class").alias("a"), "root", F.col("other").alias("block"))
         .distinct()
     )
-    asked = saved(asked)
-    members = rows.select("block", "class").distinct().join(asked.select("block").distinct(), "block")
+    members = placed.join(asked.select("block").distinct(), "block")
     ends = asked.select(F.col("a").alias("class")).union(members.select("class"))
     held = lookup.of(ends)
     return near.union(_open_blocks(asked, members, held, percent))

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 
 def tolerance_ratio(tolerance: float | str) -> Fraction:
-    """``0.05`` as the exact fraction 1/20."""
+    """``0.05`` as the exact fraction 1/20; 0 asks for equal amounts."""
     ratio = Fraction(str(tolerance))
-    if not 0 < ratio < 1:
-        raise ValueError("tolerance must lie strictly between 0 and 1")
+    if not 0 <= ratio < 1:
+        raise ValueError("tolerance must lie between 0 and 1, which is excluded")
     return ratio
 
 
@@ -59,14 +59,14 @@ def band_max(
 ) -> DataFrame:
     """Best target value per distinct probe.
 
-    ``probes`` holds ``keys``, ``carry``, ``lo`` and ``hi`` (bigint, >= 1); ``targets`` holds
+    ``probes`` holds ``keys``, ``carry``, ``lo`` and ``hi`` (bigint, >= 0); ``targets`` holds
     ``keys``, ``x`` and ``value`` (bigint). Probes without a target are left out.
     """
     t = float(tolerance_ratio(tolerance))
-    width = math.log((1 + t) / (1 - t)) / 4
+    width = math.log((1 + t) / (1 - t)) / 4 or 0.01  # equal amounts share any cell
 
     def cell(amount: Column) -> Column:
-        return F.floor(F.log(amount.cast("double")) / F.lit(width)).cast("int")
+        return F.floor(F.log1p(amount.cast("double")) / F.lit(width)).cast("int")
 
     keys, carry = list(keys), list(carry)
     distinct_targets = (

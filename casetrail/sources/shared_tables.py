@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +79,3 @@ def ledger_sql(account: str = "customer", rounded: bool = False) -> str:
              CASE o_orderstatus WHEN 'F' THEN 'reviewed' WHEN 'P' THEN 'flagged'
                   ELSE 'unreviewed' END AS review_status
       FROM orders JOIN customer ON o_custkey = c_custkey"""
-
-
-dense_ledger = partial(ledger, account="nation")

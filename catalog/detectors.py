@@ -119,11 +119,6 @@ _ALL = f"""
     UNION SELECT c_id, 6, 'SAME_DAY_ROUND_TRIP' FROM p6 UNION SELECT d_id, 6, 'SAME_DAY_ROUND_TRIP' FROM p6)"""
 
 
-def all_hits_sql() -> str:
-    """CTEs ending in ``hits(id, o, flag)`` over the dense rounded ledger ``l0``."""
-    return _ALL
-
-
 def _flagged_ledger(spark, sf):
     """Dense rounded ledger with earlier flags, one of them from the pattern namespace."""
     return T.ledger(spark, sf, "nation", True).withColumn(

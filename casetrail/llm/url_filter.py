@@ -98,6 +98,7 @@ def train(labelled: DataFrame, per_label: int, trees: int, depth: int):
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= per_label)
         .drop("place")
+        .coalesce(8)  # a bounded sample: the many short jobs of the trees need few tasks
         .persist()
     )
     try:

@@ -32,40 +32,40 @@ def _soft(x: np.ndarray) -> np.ndarray:
 
 
 class Direction:
-    """One direction: update and reset gates and a candidate, side by side in each array."""
+    """One direction: update and reset gates and a candidate, one below the other. Arrays hold a
+    row per unit and a column per text, so that each part of them lies in one piece."""
 
     def __init__(self, hidden: int, rng: np.random.Generator):
         self.hidden = hidden
-        self.table = rng.normal(0, 0.3, (256, 3 * hidden)).astype("f4")
-        self.inner = rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype("f4")
+        self.table = rng.normal(0, 0.3, (3 * hidden, 256)).astype("f4")
+        self.inner = rng.normal(0, hidden**-0.5, (3 * hidden, hidden)).astype("f4")
 
     def forward(self, data: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each byte, as (steps, rows, hidden)."""
-        h2, rows = 2 * self.hidden, len(data)
-        state = np.zeros((rows, self.hidden), "f4")
-        out = np.empty((data.shape[1], rows, self.hidden), "f4")
-        given, back, size = (np.empty((rows, 3 * self.hidden), "f4") for _ in range(3))
-        columns = np.ascontiguousarray(data.T)
-        for t, column in enumerate(columns):
-            np.take(self.table, column, axis=0, out=given, mode="clip")
-            np.matmul(state, self.inner, out=back)
-            gates, room = given[:, :h2], size[:, :h2]
-            gates += back[:, :h2]
+        """States after each byte, as (steps, hidden, texts)."""
+        h, many = self.hidden, len(data)
+        state = np.zeros((h, many), "f4")
+        out = np.empty((data.shape[1], h, many), "f4")
+        given, back, size = (np.empty((3 * h, many), "f4") for _ in range(3))
+        gates, update, reset, new = given[: 2 * h], given[:h], given[h : 2 * h], given[2 * h :]
+        room, little, inner = size[: 2 * h], size[2 * h :], back[2 * h :]
+        for t, column in enumerate(np.ascontiguousarray(data.T)):
+            np.take(self.table, column, axis=1, out=given, mode="clip")
+            np.matmul(self.inner, state, out=back)
+            gates += back[: 2 * h]
             np.abs(gates, out=room)
             room += 1
             gates /= room
             gates *= 0.5
             gates += 0.5
-            new, room = given[:, h2:], size[:, h2:]
-            np.multiply(gates[:, self.hidden :], back[:, h2:], out=room)
-            new += room
-            np.abs(new, out=room)
-            room += 1
-            new /= room
+            np.multiply(reset, inner, out=little)
+            new += little
+            np.abs(new, out=little)
+            little += 1
+            new /= little
             if keep is not None:
-                keep.append((state.copy(), gates.copy(), new.copy(), back[:, h2:].copy()))
+                keep.append((state.copy(), gates.copy(), new.copy(), inner.copy()))
             state = np.subtract(state, new, out=out[t])
-            state *= gates[:, : self.hidden]
+            state *= update
             state += new
         return out
 
@@ -73,22 +73,22 @@ class Direction:
         """Gradients of the table and of the inner weights from those of all states."""
         h = self.hidden
         inner = np.zeros_like(self.inner)
-        given = np.empty((data.shape[1], len(data), 3 * h), "f4")
-        slope = np.zeros((len(data), h), "f4")
+        given = np.empty((3 * h, data.shape[1], len(data)), "f4")
+        slope = np.zeros((h, len(data)), "f4")
         for t in range(data.shape[1] - 1, -1, -1):
             state, gates, new, back = kept[t]
             slope = slope + slopes[t]
-            update, reset = gates[:, :h], gates[:, h:]
+            update, reset = gates[:h], gates[h:]
             d_new = slope * (1 - update) * (1 - np.abs(new)) ** 2
-            d_gates = np.concatenate([slope * (state - new), d_new * back], 1)
+            d_gates = np.concatenate([slope * (state - new), d_new * back])
             d_gates *= 0.5 * (1 - np.abs(2 * gates - 1)) ** 2
-            given[t] = np.concatenate([d_gates, d_new], 1)
-            d_back = np.concatenate([d_gates, d_new * reset], 1)
-            inner += state.T @ d_back
-            slope = slope * update + d_back @ self.inner.T
+            given[:, t] = np.concatenate([d_gates, d_new])
+            d_back = np.concatenate([d_gates, d_new * reset])
+            inner += d_back @ state.T
+            slope = slope * update + self.inner.T @ d_back
         one_hot = np.zeros((data.size, 256), "f4")
         one_hot[np.arange(data.size), data.T.reshape(-1)] = 1
-        return one_hot.T @ given.reshape(-1, 3 * h), inner
+        return given.reshape(3 * h, -1) @ one_hot, inner
 
 
 class Network:
@@ -106,14 +106,16 @@ class Network:
         return [a.table, a.inner, b.table, b.inner, self.output, self.shift]
 
     def probabilities(self, data: np.ndarray, keep: tuple | None = None):
-        """Probabilities at each byte, as (steps, rows, labels), and the states behind them."""
+        """Probabilities at each byte, as (steps, labels, texts), and the states behind them."""
         ahead = self.ahead.forward(data, keep and keep[0])
         behind = self.behind.forward(data[:, ::-1], keep and keep[1])[::-1]
         h = self.ahead.hidden
-        scores = ahead @ self.output[:h] + behind @ self.output[h:] + self.shift
-        scores -= scores.max(-1, keepdims=True)
+        scores = self.output[:h].T @ ahead
+        scores += self.output[h:].T @ behind
+        scores += self.shift[:, None]
+        scores -= scores.max(1, keepdims=True)
         np.exp(scores, out=scores)
-        scores /= scores.sum(-1, keepdims=True)
+        scores /= scores.sum(1, keepdims=True)
         return scores, ahead, behind
 
     def step(self, data: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
@@ -121,13 +123,14 @@ class Network:
         keep: tuple[list, list] = ([], [])
         slopes, ahead, behind = self.probabilities(data, keep)
         mask = LETTERS[data.T].astype("f4")
-        slopes[:, np.arange(len(target)), target] -= 1
-        slopes *= (mask / max(1.0, mask.sum()))[..., None]
-        h, flat = self.ahead.hidden, slopes.reshape(-1, slopes.shape[-1])
-        output = np.concatenate([ahead.reshape(-1, h).T @ flat, behind.reshape(-1, h).T @ flat])
-        first = self.ahead.backward(data, keep[0], slopes @ self.output[:h].T)
-        second = self.behind.backward(data[:, ::-1], keep[1], (slopes @ self.output[h:].T)[::-1])
-        return [*first, *second, output, flat.sum(0)]
+        slopes[:, target, np.arange(len(target))] -= 1
+        slopes *= (mask / max(1.0, mask.sum()))[:, None]
+        h = self.ahead.hidden
+        flat = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+        output = np.concatenate([flat(ahead) @ flat(slopes).T, flat(behind) @ flat(slopes).T])
+        first = self.ahead.backward(data, keep[0], self.output[:h] @ slopes)
+        second = self.behind.backward(data[:, ::-1], keep[1], (self.output[h:] @ slopes)[::-1])
+        return [*first, *second, output, flat(slopes).sum(1)]
 
     def fit(self, windows: np.ndarray, targets: np.ndarray, steps: int, batch: int, rate: float):
         """Adam with a falling rate; batches hold as many windows of each label."""
@@ -160,7 +163,7 @@ class Network:
                 part, to = data[start : start + BLOCK], owner[start : start + BLOCK]
                 found, _, _ = self.probabilities(part)
                 mask = LETTERS[part.T].astype("f4")
-                np.add.at(sums, to, np.einsum("tnk,tn->nk", found, mask))
+                np.add.at(sums, to, np.einsum("tkn,tn->nk", found, mask))
                 np.add.at(numbers, to, mask.sum(0))
 
         for k, text in enumerate(many):

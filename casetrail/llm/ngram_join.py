@@ -110,6 +110,10 @@ def _rare_first(source: DataFrame, percent: int) -> DataFrame:
     shingle. ``rest`` is how many of its shingles come later in the order, ``alone`` how many of
     those counted no other class has.
 
+    A class emits all its counted shingles, and later ones only as far as they may fill its prefix
+    up. So that no other class emits a late shingle says nothing, and its place in the class's
+    sorted list is its rank: all counted shingles come before it, and hashes order the late ones.
+
     Each task gives a class once; copies in other tasks repeat its rows, which changes counts but
     not what is found, as every row of a shingle sees the same count.
     """
@@ -124,14 +128,17 @@ def _rare_first(source: DataFrame, percent: int) -> DataFrame:
                 if len(tokens) and own not in seen:
                     seen.add(own)
                     prefix = len(tokens) - needed(len(tokens), percent) + 1
-                    many = max(int(np.searchsorted(tokens, np.uint64(COUNTED))), prefix)
-                    out.append((tokens[:many].astype("i8"), own, len(tokens), many))
+                    counted = int(np.searchsorted(tokens, np.uint64(COUNTED)))
+                    many = max(counted, prefix)
+                    out.append((tokens[:many].astype("i8"), own, len(tokens), counted))
             if out:
                 sizes = [len(t) for t, *_ in out]
                 spread = [np.repeat([x[k] for x in out], sizes) for k in (1, 2, 3)]
-                yield dict(zip(names, [np.concatenate([t for t, *_ in out]), *spread]))
+                at = np.concatenate([np.arange(1, many + 1) for many in sizes])
+                yield dict(zip(names, [np.concatenate([t for t, *_ in out]), *spread, at]))
 
-    names = ("token", "class", "n", "m")
+    # ``m``: counted shingles of the class; ``at``: place of the shingle in its sorted list.
+    names = ("token", "class", "n", "m", "at")
     fields = [*[T.StructField(n, LONG) for n in names[:2]], *[T.StructField(n, INT) for n in names[2:]]]
     rows = map_rows(source.select("text"), fields, work)
     same = Window.partitionBy("token")
@@ -145,20 +152,20 @@ def _rare_first(source: DataFrame, percent: int) -> DataFrame:
         )
         .filter("low <> high")
         .groupBy("class", "token")
-        .agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("df").alias("df"))
+        .agg(*[F.first(c).alias(c) for c in ("n", "m", "at", "df")])
     )
-    # Shingles of one class only come first in the order; they fill the prefix up.
-    late = (F.col("token") < 0) | (F.col("token") >= COUNTED)
+    # Counted shingles of one class only come first in the order; they fill the prefix up.
+    late = F.col("at") > F.col("m")
     order = Window.partitionBy("class").orderBy(late, F.when(~late, F.col("df")), "token")
     size = F.col("n").cast("long")
     prefix = size - F.ceil(size * percent / 100) + 1
     ranked = held.withColumns(
         {
-            "alone": F.col("m") - F.count("*").over(Window.partitionBy("class")),
+            "alone": F.col("m") - F.count(F.when(~late, 1)).over(Window.partitionBy("class")),
             "place": F.row_number().over(order),
         }
     )
-    rank = (F.col("alone") + F.col("place")).cast("long")
+    rank = F.when(late, F.col("at")).otherwise(F.col("alone") + F.col("place")).cast("long")
     return ranked.filter(rank <= prefix).select(
         "token", "class", size.alias("n"), (size - rank).alias("rest"), F.col("alone").cast("long").alias("alone")
     )

@@ -65,6 +65,16 @@ def test_ngram_join_small_blocks(spark, monkeypatch):
     assert found == plain_components(rows)
 
 
+def test_ngram_join_short_chains(spark):
+    """Chains of growing short texts, whose counted shingles seldom fill a prefix."""
+    rows = []
+    for chain in range(60):
+        for size in range(9, 26):
+            rows.append((len(rows), " ".join(f"c{chain}w{j}" for j in range(size))))
+    found = Counter(tuple(r.values()) for r in H.collected(ngram_join.ngram_join(H.frame(spark, rows))))
+    assert found == plain_components(rows)
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.ngram_join(H.frame(spark, [])).count() == 0
     rows = [(1, None), (2, ""), (3, " \n")]

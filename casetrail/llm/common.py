@@ -87,7 +87,8 @@ def document_frequencies(
                 for w in place.keys() & words_of(text):
                     numbers[place[w]] += 1
             total += len(s["text"])
-        yield {"key": [-1, *range(len(wanted))], "n": [total, *numbers]}
+        held = [k for k, n in enumerate(numbers) if n]
+        yield {"key": [-1, *held], "n": [total, *[numbers[k] for k in held]]}
 
     fields = [T.StructField("key", T.IntegerType()), T.StructField("n", T.LongType())]
     rows = map_rows(source.select("text"), fields, work).groupBy("key").agg(F.sum("n")).collect()

@@ -131,6 +131,43 @@ def test_block_max_search_is_exact():
     assert np.allclose(np.where(places >= 0, (vectors[:, None, :] * whole[places]).sum(-1), 0), cosines, atol=1e-6)
 
 
+def test_toxicity_few_examples(spark):
+    """Words of a handful of examples count, as do words that one example has."""
+    rows = [(k, f"vile{k % 2} word{k} text" if k < 6 else f"kind{k % 3} word{k} text") for k in range(24)]
+    rows += [(100, "vile0 text unseen"), (101, "kind1 text unseen")]
+    df = H.frame(spark, rows)
+    lab = spark.createDataFrame([(k, int(k < 6)) for k in range(24)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r for r in H.collected(toxicity.score_toxicity(df, df, lab, F.col("doc_id") < 100, neighbours=3))}
+    assert (found[100]["predicted"], found[101]["predicted"]) == (1, 0)
+    assert {e["toxic"] for e in found[100]["evidence"]} == {1}
+
+
+def test_rare_terms_are_exact(monkeypatch):
+    """Columns and postings together give the plain cosine."""
+    monkeypatch.setattr(toxicity, "COMMON", 16)
+    rng = np.random.default_rng(2)
+    terms = [f"t{k}".encode() for k in range(200)]
+    pick = lambda: {terms[int(200 * x**3)]: int(rng.integers(1, 4)) for x in rng.random(rng.integers(0, 12))}
+    rows = [{"doc_id": k, "toxic": int(k % 3 == 0), "size": 40, "terms": pick()} for k in range(300)]
+    idf = rng.uniform(1, 4, 200)
+    index = toxicity.Index(terms, idf, rows, neighbours=7, block=16)
+    assert 0 < index.columns < 200
+    asks = [pick() for _ in range(50)]
+
+    def plain(counts, size):
+        w = np.zeros(200)
+        for t, n in counts.items():
+            w[int(t[1:])] = (1 + np.log(n)) * idf[int(t[1:])]
+        return w / np.sqrt((w**2).sum() + size - sum(counts.values()))
+
+    whole = {r["doc_id"]: plain(r["terms"], 40) for r in rows}
+    _, cosines, places = index.score(asks, [40] * 50)
+    for ask, near, where in zip(asks, cosines, places):
+        each = {k: float(plain(ask, 40) @ v) for k, v in whole.items()}
+        assert np.allclose(near, sorted(each.values(), reverse=True)[:7], atol=1e-5)
+        assert all(abs(each[index.ids[p]] - c) < 1e-5 for p, c in zip(where, near) if p >= 0)
+
+
 def test_isotonic_curve():
     x, y = toxicity.rising(np.array([0.1, 0.2, 0.3, 0.4, 0.4]), np.array([0, 1, 0, 1, 1]))
     assert y.tolist() == [0, 0, 0.5, 0.5, 1, 1] and x.tolist() == [0.1, 0.1, 0.2, 0.3, 0.4, 0.4]

@@ -31,9 +31,17 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0."),
 )
 
-# Regions are lines and the texts between tags.
+# Regions are lines and the texts between tags, and windows over blocks. Blocks end at block-level
+# elements, ends of comments and empty lines (also those with a comment mark only).
 REGION = re.compile(rb"\n|<[^<>]*>")
+TAG = re.compile(rb"<[^<>]*>")
+BLOCK = re.compile(
+    rb"(?i)<!--|-->|</?(?:address|article|aside|blockquote|body|caption|dd|div|dl|dt|figcaption|figure|footer|"
+    rb"form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|script|section|style|table|tbody|td|"
+    rb"textarea|tfoot|th|thead|title|tr|ul)(?:[\s/][^<>]*)?>|(?:\r?\n[^\S\n]*(?:[*#;/%]+|--)?[^\S\n]*)(?=\r?\n)"
+)
 WORD = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
+SIGNS = b"\"'()[].,;:!?"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|legal|terms)[^/]*$|/(index\.[a-z]+)?$"
 
 
@@ -57,18 +65,23 @@ class Scanner:
                 self.postings.setdefault(term, []).append((k, w / norm))
         # A region must hold one of the words that tell licences from prose: half of each
         # template's squared weight lies in its heaviest terms.
-        self.anchors = self._anchors(templates)
+        self.sizes = [len(words_of(text.encode())) for _, text in templates]
+        each = [self._anchors(k) for k in range(len(templates))]
+        self.anchors = set().union(*each)
+        self.anchored: dict[bytes, list[int]] = {}
+        for k, held in enumerate(each):
+            for term in held:
+                self.anchored.setdefault(term, []).append(k)
 
-    def _anchors(self, templates) -> set[bytes]:
+    def _anchors(self, k: int) -> set[bytes]:
         out: set[bytes] = set()
-        for k in range(len(templates)):
-            own = sorted(((w, t) for t, p in self.postings.items() for j, w in p if j == k), reverse=True)
-            covered = 0.0
-            for w, term in own:
-                out.add(term)
-                covered += w * w
-                if covered > 0.5:
-                    break
+        own = sorted(((w, t) for t, p in self.postings.items() for j, w in p if j == k), reverse=True)
+        covered = 0.0
+        for w, term in own:
+            out.add(term)
+            covered += w * w
+            if covered > 0.5:
+                break
         return out
 
     def weights(self, words: list[bytes]) -> dict[bytes, float]:
@@ -76,6 +89,39 @@ class Scanner:
             w: (1 + float(np.log(n))) * self.idf.get(w, self.other) for w, n in Counter(words).items()
         }
 
+    def cosines(self, words: list[bytes]) -> dict[int, float]:
+        weights = self.weights(words)
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        sums: dict[int, float] = {}
+        for term, w in weights.items():
+            for k, p in self.postings.get(term, ()):
+                sums[k] = sums.get(k, 0.0) + w * p / norm
+        return sums
+
+    def windows(self, text: bytes):
+        """``(template, words, region)`` of the windows as long as a template that hold one of its
+        anchors. Inline tags and single ends of lines are blanks."""
+        start = 0
+        for end, after in [*((m.start(), m.end()) for m in BLOCK.finditer(text)), (len(text), 0)]:
+            block, start = text[start:end], after
+            flat = TAG.sub(lambda m: b" " * len(m[0]), block)
+            found = list(WORD.finditer(flat.lower()))
+            words = [m[0] for m in found]
+            if self.anchors.isdisjoint(words):
+                continue
+            spots: set[tuple[int, int]] = set()
+            for at, word in enumerate(words):
+                for k in self.anchored.get(word, ()):
+                    last = max(0, len(words) - self.sizes[k])
+                    spots.update((low, k) for low in range(max(0, at - self.sizes[k] + 1), min(at, last) + 1))
+            for low, k in sorted(spots):
+                many = words[low : low + self.sizes[k]]
+                first, stop = found[low].start(), found[low + len(many) - 1].end()
+                # Signs that touch the first and last word belong to the region.
+                first = len(flat[:first].rstrip(SIGNS))
+                stop = len(flat) - len(flat[stop:].lstrip(SIGNS))
+                yield k, many, block[first:stop]
+
     def best(self, text: bytes | None, least: float):
         """Licence, cosine and region of the best match of a text, or nothing."""
         found = (None, None, None)
@@ -83,16 +129,15 @@ class Scanner:
             words = words_of(region)
             if not words or self.anchors.isdisjoint(words):
                 continue
-            weights = self.weights(words)
-            norm = sum(w * w for w in weights.values()) ** 0.5
-            sums: dict[int, float] = {}
-            for term, w in weights.items():
-                for k, p in self.postings.get(term, ()):
-                    sums[k] = sums.get(k, 0.0) + w * p / norm
+            sums = self.cosines(words)
             # Of equal cosines the earlier template and the earlier region win.
             k = max(sums, key=lambda j: (sums[j], -j), default=None)
             if k is not None and sums[k] >= least and (found[1] is None or sums[k] > found[1] + 1e-12):
                 found = (self.names[k], min(1.0, sums[k]), region)
+        for k, words, region in self.windows(text or b""):
+            cosine = self.cosines(words).get(k, 0.0)
+            if cosine >= least and (found[1] is None or cosine > found[1] + 1e-12):
+                found = (self.names[k], min(1.0, cosine), region)
         return found
 
 
@@ -201,8 +246,8 @@ def scan_licenses(
 
     One row per file row: ``doc_id, path, license, own_license, own_cosine, inherited_from`` (the
     directory), ``origin`` (own, inherited or none) and ``region`` (the notice found). A file's own
-    notice is the region (line, or text between tags) with the greatest cosine to a template, if
-    it reaches ``least``; a file without one inherits from the nearest directory above it that has
+    notice is the region (line, text between tags, or window of a template's length in words over a
+    block of lines) with the greatest cosine to a template, if it reaches ``least``; a file without one inherits from the nearest directory above it that has
     a licence file with a notice.
 
     Null and empty texts have no notice but inherit; a null path counts as empty and lies in the

@@ -1,6 +1,7 @@
 """Jaccard join, toxicity, language ID, URL filter, licences and the pipeline."""
 
 import math
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -314,6 +315,23 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.filter("false"), "page_id", "path", "text").count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Notices over several lines, in comments and with inline tags."""
+    wrap = lambda t, lead: "\n".join(lead + line for line in textwrap.wrap(t, 60))
+    mit, gpl, bsd = (licenses.TEMPLATES[k][1] for k in (3, 5, 8))
+    rows = [
+        (1, "a/LICENSE", f"MIT License\n\nCopyright (c) 2020 A. Author\n\n{wrap(mit, '')}"),
+        (2, "a/x.c", "plain"),
+        (3, "b/y.py", f"#!/usr/bin/python\n#\n{wrap(gpl, '# ')}\n#\nimport os"),
+        (4, "c/z.c", f"/*\n * Copyright\n *\n{wrap(bsd, ' * ')}:\n */"),
+        (5, "d/i.html", "<p>All is <a href='x'>Licensed under</a> <em>the</em><br>Apache License, Version 2.0.</p>"),
+        (6, "e/i.html", "<p>Released under</p><p>the club</p><p>License.</p>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, path string, text string")
+    found = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(df, "page_id", "path", "text").collect()}
+    assert found == {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: "BSD-3-Clause", 5: "Apache-2.0", 6: None}
+
+
 def test_pipeline(spark, tmp_path):
     rows, marks = toxic_case()
     docs = [(k, t + " and more of the same", "en", "s0", len(t)) for k, t in rows]

@@ -195,8 +195,10 @@ def sample(rows: DataFrame, per_label: int, windows: int, width: int) -> DataFra
     )
     # Cut first: whole texts are never sorted.
     short = rows.select("lang", F.xxhash64("text").alias("mark"), F.array_distinct(cuts).alias("cuts"))
+    # Copies teach once: equal texts have equal marks and would fill the places that are left.
+    distinct = short.dropDuplicates(["lang", "mark"])
     order = Window.partitionBy("lang").orderBy("mark", "cuts")
-    picked = short.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_label)
+    picked = distinct.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_label)
     return picked.select("lang", F.explode("cuts").alias("cut"))
 
 

@@ -233,6 +233,13 @@ def test_language(spark):
     assert langid.identify(df.filter("false"), df.filter("false"), steps=1).count() == 0
 
 
+def test_language_sample_takes_copies_once(spark):
+    rows = [("aa", f"copy {k}") for k in range(3) for _ in range(200)] + [("aa", f"other {k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    found = langid.sample(df, 33, 1, 64).collect()
+    assert {r["cut"] for r in found} == {t for _, t in rows} and len(found) == 33
+
+
 RULES = [
     url_filter.Rule("block", "net"),
     url_filter.Rule("allow", "example.net", "/en/"),

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from casetrail.llm import (
     bpe,
     contamination,
+    fim,
     langid,
     licenses,
     ngram_join,
     ppm,
     quality,
+    sharding,
     token_counts,
     toxicity,
     url_filter,
@@ -88,12 +90,23 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(contamination.decontaminate(docs, items))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_licenses, op3_ngram_join, op4_byte_bpe, op5_quality_rules, op6_ppm_scores,
     op7_language_id, op8_token_counts, op9_decontamination, op10_url_filter,
+    op11_sharding, op12_fill_in_middle,
 )}
 ORACLES: dict[str, str] = {
     "op3_ngram_join": ngram_join.SQL,
     "op5_quality_rules": quality.SQL,
     "op9_decontamination": contamination.SQL,
+    "op11_sharding": sharding.SQL,
+    "op12_fill_in_middle": fim.SQL,
 }

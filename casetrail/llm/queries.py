@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from casetrail.llm import (
     bpe,
     contamination,
+    conversations,
     fim,
     langid,
     licenses,
@@ -98,10 +99,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, F.col("live"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_licenses, op3_ngram_join, op4_byte_bpe, op5_quality_rules, op6_ppm_scores,
     op7_language_id, op8_token_counts, op9_decontamination, op10_url_filter,
-    op11_sharding, op12_fill_in_middle,
+    op11_sharding, op12_fill_in_middle, op13_conversation_repair,
 )}
 ORACLES: dict[str, str] = {
     "op3_ngram_join": ngram_join.SQL,
@@ -109,4 +115,5 @@ ORACLES: dict[str, str] = {
     "op9_decontamination": contamination.SQL,
     "op11_sharding": sharding.SQL,
     "op12_fill_in_middle": fim.SQL,
+    "op13_conversation_repair": conversations.SQL,
 }

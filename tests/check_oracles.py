@@ -54,8 +54,9 @@ def compare(spark, con, query, sql, sf_dir):
     left, right = canonical(df.columns, left_rows), canonical(right_cols, right_rows)
     if left == right:
         return True, f"{len(left)} rows"
-    only_left = [r for r in left if r not in set(right)][:3]
-    only_right = [r for r in right if r not in set(left)][:3]
+    in_left, in_right = set(left), set(right)
+    only_left = [r for r in left if r not in in_right][:3]
+    only_right = [r for r in right if r not in in_left][:3]
     return False, f"rows {len(left)} vs {len(right)}\n   spark {only_left}\n   sql   {only_right}"
 
 
@@ -69,6 +70,7 @@ def main() -> int:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

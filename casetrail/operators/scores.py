@@ -79,20 +79,23 @@ def escalation(families: DataFrame) -> DataFrame:
     """What to do about each address.
 
     ``families`` is ``(address, family, triggered, signals, velocity_profile)``; ``triggered`` is
-    null where a family was not tested.
+    null where a family was not tested. Signals that an accumulating address has anyway do not
+    escalate it, unless the triggered families name none at all.
     """
     hit = F.coalesce(F.col("triggered"), F.lit(False))
     inherent = F.array(*map(F.lit, ACCUMULATOR_SIGNALS))
+    signals = F.coalesce("signals", F.array().cast("array<string>"))
     rows = families.groupBy("address").agg(
         F.count_if(hit).alias("triggered"),
         F.count_if(F.col("triggered").isNotNull()).alias("tested"),
         F.count_if(F.col("triggered").isNull()).alias("not_available"),
         # Only signals that the gate does not know are gathered, as one boolean.
-        F.bool_and(~hit | (F.size(F.array_except("signals", inherent)) == 0)).alias("_inherent"),
+        F.bool_and(~hit | (F.size(F.array_except(signals, inherent)) == 0)).alias("_inherent"),
+        F.bool_or(hit & (F.size(signals) > 0)).alias("_told"),
         F.bool_or(F.col("velocity_profile") == "Accumulator").alias("_accumulator"),
     )
     n = F.col("triggered")
-    gate = F.coalesce(F.col("_accumulator"), F.lit(False)) & F.col("_inherent")
+    gate = F.coalesce(F.col("_accumulator"), F.lit(False)) & F.col("_inherent") & F.col("_told")
     decided = (
         F.when((n >= 3) & gate, "INVESTIGATE")
         .when(n >= 3, "ESCALATE")

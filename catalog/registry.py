@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detectors", "narrations", "text", "cases", "velocity", "entities", "graph", "scores", "traversal")
+MODULES = ("detectors", "narrations", "text", "cases", "velocity", "entities", "graph", "scores", "traversal", "signals")
 
 
 def _collect(attribute: str) -> dict:

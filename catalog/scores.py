@@ -1,4 +1,4 @@
-"""Scores, control totals and escalation over derived tables, with SQL checks."""
+"""Scores and control totals over derived tables, with SQL checks."""
 
 from __future__ import annotations
 
@@ -48,25 +48,10 @@ def _totals(spark, sf):
     return S.control_totals(rows, declared).select("file", "rows", "status", "count_ok", F.coalesce("net_ok", F.lit(False)).alias("net_ok"))
 
 
-def _families(spark, sf):
-    users = T.table(spark, sf, "events").select(F.col("user_id").alias("address")).distinct()
-    each = users.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    k = (F.col("address") * 7 + F.col("n") * 3) % 5
-    calm = F.col("address") % 4 == 0
-    return each.select(
-        "address",
-        F.concat(F.lit("family"), F.col("n")).alias("family"),
-        F.when(k == 0, True).when(k < 3, False).alias("triggered"),
-        F.array(F.when(calm, "high_burst").otherwise("sanctioned")).alias("signals"),
-        F.when(F.col("address") % 8 == 0, "Accumulator").otherwise("Mixed").alias("velocity_profile"),
-    )
-
-
 QUERIES = {
     "a13_extraction_scores": lambda s, d: S.extraction_scores(_found(s, d), _truth(s, d), ["file"]),
     "a14_leaderboard": _board,
     "a12_control_totals": _totals,
-    "z9_escalation": lambda s, d: S.escalation(_families(s, d)),
 }
 
 ORACLES = {
@@ -76,8 +61,4 @@ ORACLES = {
     "a12_control_totals": f"""{_SETS}, H AS (SELECT file, count(*) FILTER (NOT (file % 3 = 0 AND id % 10 = 0)) AS rows, count(*) AS n FROM R GROUP BY file)
       SELECT file, rows, CASE WHEN file % 4 = 0 THEN 'no-truth' ELSE 'checked' END AS status, CASE WHEN file % 4 <> 0 THEN rows = n END AS count_ok,
         file % 4 <> 0 AND file % 2 = 0 AND rows = n AS net_ok FROM H""",
-    "z9_escalation": """WITH U AS (SELECT DISTINCT user_id AS address FROM events), E AS (SELECT address, n, (address * 7 + n * 3) % 5 AS k FROM U, (SELECT unnest(range(0, 7)) AS n)),
-      C AS (SELECT address, count(*) FILTER (k = 0) AS triggered, count(*) FILTER (k < 3) AS tested, count(*) FILTER (k >= 3) AS not_available FROM E GROUP BY 1)
-      SELECT *, CASE WHEN triggered >= 3 AND address % 8 = 0 THEN 'INVESTIGATE' WHEN triggered >= 3 THEN 'ESCALATE' WHEN triggered = 2 THEN 'INVESTIGATE' WHEN triggered = 1 THEN 'MONITOR'
-        WHEN not_available >= 3 THEN 'INSUFFICIENT_DATA' ELSE 'DEPRIORITIZE' END AS escalation FROM C""",
 }

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from casetrail.session import configure, ensure_checkpoint_dir
 
-# Rows handed to a Python function at a time; keeps the lists of a batch of long texts small.
+# Rows, and bytes of text, handed to a Python function at a time; a longer text comes alone. What a
+# function holds for each byte of text is so held for a slice, never for a batch.
 SLICE = 256
+SLICE_BYTES = 1 << 20
+# Rows and bytes that Spark puts into an Arrow batch: a batch is held whole on both sides.
+BATCH, BATCH_BYTES = 1000, 8 << 20
 
 
 def visible(spark: SparkSession) -> SparkSession:
@@ -25,6 +31,8 @@ def visible(spark: SparkSession) -> SparkSession:
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return configure(spark)
 
 
@@ -44,30 +52,71 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
     )
 
 
+def slices_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``SLICE`` rows and ``SLICE_BYTES`` bytes of text, or a single row."""
+    if not batch.num_rows:
+        return
+    sizes = np.zeros(batch.num_rows, "i8")
+    for column in batch.columns:
+        if pa.types.is_binary(column.type) or pa.types.is_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        before = int(upto[start - 1]) if start else 0
+        stop = int(np.searchsorted(upto, before + SLICE_BYTES, "right"))
+        stop = max(start + 1, min(stop, start + SLICE))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def map_rows(
-    df: DataFrame, fields: list[T.StructField], work: Callable[[Iterator[dict]], Iterable[dict]]
+    df: DataFrame,
+    fields: list[T.StructField],
+    work: Callable[[Iterator[dict]], Iterable[dict]],
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
     """``mapInArrow`` over small slices. ``work`` gets dicts of column lists and yields dicts of
-    column lists (any number of rows), in the order of ``fields``."""
+    column lists (any number of rows), in the order of ``fields``.
+
+    ``carry`` names fields that are columns of ``df`` handed through; they never become Python objects. Then
+    ``work`` has to yield once for each slice, with a row for each of its rows.
+    """
     visible(df.sparkSession)
-    schema = T.StructType(fields)
+    schema, carried = T.StructType(fields), carry or {}
 
     def run(batches):
         out = to_arrow_schema(schema)
+        waiting: deque[pa.RecordBatch] = deque()
+        unseen = set(carried.values()) - {"text"}
 
         def slices():
             for batch in batches:
-                for start in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(start, SLICE)
-                    yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+                for part in slices_of(batch):
+                    if carried:
+                        waiting.append(part)
+                    yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names) if n not in unseen}
 
         for made in work(slices()):
-            columns = [pa.array(made[f.name], type=f.type) for f in out]
+            part = waiting.popleft() if carried else None
+            columns = [
+                part.column(carried[f.name]).cast(f.type) if f.name in carried else pa.array(made[f.name], type=f.type) for f in out
+            ]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+def handed_through(source: DataFrame, text_as: str | None) -> tuple[list[T.StructField], dict[str, str]]:
+    """Fields and ``carry`` of all columns of ``source`` but the text, which comes as ``text_as`` if wanted."""
+    kept = [f for f in source.schema.fields if f.name != "text"]
+    carry = {f.name: f.name for f in kept}
+    if text_as:
+        kept.append(T.StructField(text_as, T.StringType()))
+        carry[text_as] = "text"
+    return kept, carry
+
+
 def saved(df: DataFrame) -> DataFrame:
     """A copy on the shared checkpoint folder; later stages read it instead of computing again."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casetrail.llm.common import map_rows, texts
+from casetrail.llm.common import handed_through, map_rows, saved, texts
 
 # Lower-case A-Z; every other ASCII character that is no letter or digit becomes a blank. Bytes
 # keep their places, so offsets hold for the original text.
@@ -104,13 +104,14 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     keep: dict[str, Column] | None = None,
+    text_as: str | None = None,
     width: int = 13,
     least_percent: int = 5,
     patterns_at_once: int = 200_000,
 ) -> DataFrame:
     """Occurrences of test items in documents.
 
-    One row per document row: ``doc_id``, the columns of ``keep``, ``n_words, n_hit, items`` (sorted
+    One row per document row: ``doc_id``, the columns of ``keep``, the text as ``text_as`` if wanted, ``n_words, n_hit, items`` (sorted
     as text), ``spans`` (runs of hit words: character offsets of the original text, first word and
     number of words) and ``contaminated`` (hit words, and at least ``least_percent`` of all words).
 
@@ -129,7 +130,10 @@ def decontaminate(
     slices = max(1, -(-total // patterns_at_once))
     sliced = by_window.withColumn("slice", F.pmod(F.xxhash64("window"), F.lit(slices)))
     source = texts(docs, id_col, text_col, *[c.alias(n) for n, c in (keep or {}).items()])
-    kept = [f for f in source.schema.fields if f.name != "text"]
+    kept, carry = handed_through(source, text_as)
+    if slices > 1:
+        # Saved, so that a row has the same number in every scan.
+        source = saved(source.withColumn("row", F.monotonically_increasing_id()))
     fields = [
         *kept,
         T.StructField("n_words", T.LongType()),
@@ -145,16 +149,14 @@ def decontaminate(
             machine = Automaton(sent.value)
             for s in slices_:
                 found = [machine.scan(t) for t in s["text"]]
-                made = {f.name: s[f.name] for f in kept} | {
+                yield {
                     "n_words": [n for n, _, _ in found],
                     "items": [sorted(i) for _, i, _ in found],
                     "spans": [[dict(zip(SPAN.names, x)) for x in spans] for _, _, spans in found],
                 }
-                yield made | ({"row": s["row"]} if extra else {})
 
         row = [T.StructField("row", T.LongType())] if extra else []
-        frame = source.withColumn("row", F.monotonically_increasing_id()) if extra else source
-        return map_rows(frame, fields + row, work)
+        return map_rows(source, fields + row, work, carry | ({"row": "row"} if extra else {}))
 
     if slices == 1:
         found = scan(0, False).withColumn(

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casetrail.llm.common import map_rows, texts
+from casetrail.llm.common import handed_through, map_rows, texts
 
 UNDETERMINED = "und"
 WINDOW = 128  # bytes that one pass of the network sees
@@ -227,6 +227,7 @@ def identify(
     text_col: str = "text",
     lang_col: str = "lang",
     keep: dict[str, Column] | None = None,
+    text_as: str | None = None,
     per_label: int = 400,
     windows: int = 4,
     hidden: int = 8,
@@ -234,7 +235,7 @@ def identify(
 ) -> DataFrame:
     """Predict the language of whole texts.
 
-    One row per document row: ``doc_id``, the columns of ``keep``, ``lang_pred`` (a value of
+    One row per document row: ``doc_id``, the columns of ``keep``, the text as ``text_as`` if wanted, ``lang_pred`` (a value of
     ``lang_col`` in ``training``), ``score`` (its mean probability over all letters, 0 to 1) and
     ``spread`` (a map of all labels to their mean probability).
 
@@ -253,7 +254,7 @@ def identify(
     sent = spark.sparkContext.broadcast((uuid4().hex, network.labels, hidden, network.weights()))
     more = [c.alias(n) for n, c in (keep or {}).items()]
     source = texts(docs, id_col, text_col, *more)
-    kept = [f for f in source.schema.fields if f.name != "text"]
+    kept, carry = handed_through(source, text_as)
     fields = [
         *kept,
         T.StructField("lang_pred", T.StringType()),
@@ -271,7 +272,7 @@ def identify(
             _networks[name] = fresh
         model = _networks[name]
         for s in slices:
-            out = {f.name: s[f.name] for f in kept} | {"lang_pred": [], "score": [], "spread": []}
+            out = {"lang_pred": [], "score": [], "spread": []}
             found = model.pooled([t or b"" for t in s["text"]])
             for text, row in zip(s["text"], found):
                 if not labels or not LETTER.search((text or b"").decode("utf-8", "replace")):
@@ -286,4 +287,4 @@ def identify(
                 out["spread"].append(spread)
             yield out
 
-    return map_rows(source, fields, work)
+    return map_rows(source, fields, work, carry)

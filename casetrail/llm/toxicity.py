@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casetrail.llm.common import SLICE, document_frequencies, map_rows, texts
+from casetrail.llm.common import SLICE, document_frequencies, handed_through, map_rows, saved, texts
 
 # Letters A-Z in lower case; other ASCII characters that are no letter become blanks.
 FOLD = bytes(
@@ -221,19 +221,18 @@ def fit(
     source = texts(docs, "doc_id", "text", F.coalesce(teaches, F.lit(False)).alias("teaches"))
     marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Bounded: at most per_label ids of each label are sent to all tasks.
     lessons = docs.select(docs["doc_id"].alias("doc_id"), teaches.alias("teaches"))
     lessons = lessons.filter("teaches").select("doc_id").distinct()
-    chosen = (
-        marks.join(lessons, "doc_id", "left_semi")
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= per_label)
-        .select("doc_id", "toxic")
-    )
+    marks = marks.join(lessons, "doc_id", "left_semi")
+    # Bounded: at most per_label ids of each label are sent to all tasks. Every task gives its first
+    # ones, so none sorts all ids of a label.
+    first = lambda label: marks.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+    chosen = saved(first(1).unionByName(first(0)).select("doc_id", "toxic"))
     kind = source.schema["doc_id"].dataType
     shown = [T.StructField("doc_id", kind), T.StructField("toxic", T.IntegerType())]
     examples = source.filter("teaches").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # An id teaches once: of several texts the one with the least hash.
+    examples = examples.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     sizes = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -275,12 +274,13 @@ def score_toxicity(
     labels: DataFrame,
     teaches: Column,
     keep: dict[str, Column] | None = None,
+    text_as: str | None = None,
     per_label: int = 2048,
     neighbours: int = 15,
 ) -> DataFrame:
     """Score whole texts by their nearest labelled examples.
 
-    One row per row of ``docs``: ``doc_id``, the columns of ``keep``, ``score`` (0 to 1),
+    One row per row of ``docs``: ``doc_id``, the columns of ``keep``, the text as ``text_as`` if wanted, ``score`` (0 to 1),
     ``predicted`` (1 if the score is at least 0.5) and ``evidence`` (the neighbours, nearest first:
     their id, label and cosine).
 
@@ -292,14 +292,14 @@ def score_toxicity(
 
     Null and empty texts, and texts without a known word, have no neighbours and get the score of
     the base rate. Labels other than 0 and 1, null ids and unknown ids teach nothing; an id with
-    both labels counts as toxic. Without examples every score is 0. Equal cosines rank by index
+    both labels counts as toxic, one with several texts teaches one. Without examples every score is 0. Equal cosines rank by index
     order. Repeated rows are scored one by one. Only the named columns are read.
     """
     spark = docs.sparkSession
     index = fit(training, labels, teaches, per_label, neighbours)
     sent = spark.sparkContext.broadcast(index)
     source = texts(docs, "doc_id", "text", *[c.alias(n) for n, c in (keep or {}).items()])
-    kept = [f for f in source.schema.fields if f.name != "text"]
+    kept, carry = handed_through(source, text_as)
     near = T.StructType(
         [
             T.StructField("doc_id", source.schema["doc_id"].dataType),
@@ -329,10 +329,10 @@ def score_toxicity(
                 ]
                 for where, near in zip(places, cosines)
             ]
-            yield {f.name: s[f.name] for f in kept} | {
+            yield {
                 "score": scores.tolist(),
                 "predicted": [int(x >= 0.5) for x in scores],
                 "evidence": evidence,
             }
 
-    return map_rows(source, fields, work)
+    return map_rows(source, fields, work, carry)

@@ -21,7 +21,9 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def _carried() -> dict:
-    return {"was_" + c: F.col(c) for c in COLUMNS if c != "doc_id"}
+    """The columns of documents besides id and text; the text is handed through once, as ``was_text``."""
+    kept = {"was_" + c: F.col(c) for c in COLUMNS if c not in ("doc_id", "text")}
+    return {"keep": kept, "text_as": "was_text"}
 
 
 def _restored(judged: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def _restored(judged: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts without a letter and those whose language stays open."""
-    judged = langid.identify(docs, docs, keep=_carried())
+    judged = langid.identify(docs, docs, **_carried())
     clear = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return _restored(judged.filter(clear))
 
@@ -38,22 +40,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts that are predicted to be toxic; labels of all documents teach."""
     labels = table(spark, sf_dir, "labels")
-    judged = toxicity.score_toxicity(docs, docs, labels, F.lit(True), keep=_carried())
+    judged = toxicity.score_toxicity(docs, docs, labels, F.lit(True), **_carried())
     return _restored(judged.filter("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group, once; documents without an id stay."""
-    groups = ngram_join.ngram_join(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+    """Keep the document with the smallest id of each group, once. Rows without an id get a key above all
+    ids that depends on their text, so of a group that has no id one text stays, too."""
+    above = F.lit(1 << 62)
+    of_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), above + of_text))
+    groups = ngram_join.ngram_join(keyed, id_col="_key")
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key", "text"])
+    return kept.select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that hold test items."""
     items = table(spark, sf_dir, "benchmark")
-    judged = contamination.decontaminate(docs, items, keep=_carried())
+    judged = contamination.decontaminate(docs, items, **_carried())
     return _restored(judged.filter(~F.col("contaminated")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
@@ -70,6 +71,14 @@ def slices_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on and serves other passes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame,
     fields: list[T.StructField],
@@ -103,6 +112,7 @@ def map_rows(
                 part.column(carried[f.name]).cast(f.type) if f.name in carried else pa.array(made[f.name], type=f.type) for f in out
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

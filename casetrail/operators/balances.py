@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MONEY = "decimal(28,2)"
 # Fields that an edit may set.
 EDITABLE = ("entities", "tags", "amount", "direction", "txn_date", "review_status")
+# Fields that an edit may clear; a null for any other field is no edit of it.
+CLEARABLE = ("txn_date", "review_status")
 
 
 def signed(amount: str = "amount", direction: str = "direction") -> Column:
@@ -41,11 +43,17 @@ def running_balance(rows: DataFrame) -> DataFrame:
     )
 
 
+def _edits(patches: DataFrame) -> DataFrame:
+    """Patches of fields that can be edited, with values that the field can take."""
+    fits = F.col("value").isNotNull() | F.col("field").isin(*CLEARABLE)
+    return patches.filter(F.col("field").isin(*EDITABLE) & fits)
+
+
 def latest_patches(patches: DataFrame) -> DataFrame:
     """The last value for each transaction and field, by ``patch_seq``."""
     order = Window.partitionBy("id", "field").orderBy(F.desc("patch_seq"))
     return (
-        patches.filter(F.col("field").isin(*EDITABLE))
+        _edits(patches)
         .withColumn("_n", F.row_number().over(order))
         .filter("_n = 1")
         .drop("_n")
@@ -53,14 +61,23 @@ def latest_patches(patches: DataFrame) -> DataFrame:
 
 
 def _patched(ledger: DataFrame, patches: DataFrame) -> DataFrame:
-    """Old and new values side by side; one row per transaction, untouched ones with nulls."""
+    """Old and new values side by side; one row per transaction, untouched ones with nulls.
+
+    ``_txn_date`` and ``_review_status`` are structs, so that a cleared field differs from an untouched one.
+    """
     value = lambda field: F.max(F.when(F.col("field") == field, F.col("value")))
-    edits = latest_patches(patches).groupBy("id").agg(
+    cleared = lambda field: F.max(F.when(F.col("field") == field, F.struct("value")))
+    given = [
         value("amount").cast("decimal(18,2)").alias("_amount"),
         value("direction").alias("_direction"),
-        value("txn_date").cast("date").alias("_txn_date"),
-        value("review_status").alias("_review_status"),
-    )
+        cleared("txn_date").alias("_txn_date"),
+        cleared("review_status").alias("_review_status"),
+    ]
+    for name in ("tags", "entities"):
+        if name in ledger.columns:
+            kind = ledger.schema[name].dataType.simpleString()
+            given.append(F.from_json(value(name), kind).alias("_" + name))
+    edits = latest_patches(patches).groupBy("id").agg(*given)
     times = patches.groupBy("id").agg(F.countDistinct("patch_seq").cast("int").alias("_edits"))
     return ledger.join(edits, "id", "left").join(times, "id", "left")
 
@@ -68,9 +85,10 @@ def _patched(ledger: DataFrame, patches: DataFrame) -> DataFrame:
 def patch_transactions(ledger: DataFrame, patches: DataFrame) -> DataFrame:
     """The ledger after a batch of edits, with balances moved along.
 
-    ``patches`` is ``(id, patch_seq, field, value)``; rows with one ``patch_seq`` are one edit. The
-    change of a signed amount moves the running balance of that row and of all later rows of the
-    statement; unknown ids and fields change nothing.
+    ``patches`` is ``(id, patch_seq, field, value)``; rows with one ``patch_seq`` are one edit. Values are
+    texts: ``tags`` and ``entities`` as JSON of the ledger's columns, which replaces all of the old value. A
+    null clears a date or a status. The change of a signed amount moves the running balance of that row
+    and of all later rows of the statement; unknown ids and fields change nothing.
     """
     both = _patched(ledger, patches)
     new_amount = F.coalesce("_amount", "amount")
@@ -78,14 +96,16 @@ def patch_transactions(ledger: DataFrame, patches: DataFrame) -> DataFrame:
     fresh = F.when(new_direction == "Cr", new_amount).otherwise(-new_amount).cast(MONEY)
     later = Window.partitionBy("statement_id").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
     moved = both.withColumn("_delta", fresh - signed()).withColumn("_shift", F.sum("_delta").over(later))
+    set_or_old = lambda name, new: F.when(F.col("_" + name).isNull(), F.col(name)).otherwise(new)
     replaced = {
         "amount": new_amount,
         "direction": new_direction,
-        "txn_date": F.coalesce("_txn_date", "txn_date"),
-        "review_status": F.coalesce("_review_status", "review_status"),
+        "txn_date": set_or_old("txn_date", F.col("_txn_date.value").cast("date")),
+        "review_status": set_or_old("review_status", F.col("_review_status.value")),
         "running_balance": (F.col("running_balance") + F.col("_shift")).cast(MONEY),
         "edit_count": (F.col("edit_count") + F.coalesce("_edits", F.lit(0))).cast("int"),
     }
+    replaced |= {c: F.coalesce("_" + c, c) for c in ("tags", "entities") if c in ledger.columns}
     return moved.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in ledger.columns])
 
 
@@ -102,23 +122,22 @@ def closing_balances(statements: DataFrame, ledger: DataFrame, patches: DataFram
 def audit_events(ledger: DataFrame, patches: DataFrame, limit: int = 500) -> DataFrame:
     """One event for each edited field, oldest first within a transaction: what it was, what it is.
 
-    An edit that comes after another one of the same field starts from the other one's value.
+    An edit that comes after another one of the same field starts from the other one's value. Old
+    ``tags`` and ``entities`` are shown as JSON, a cleared or missing value as null.
     """
-    base = ledger.select(
-        "id",
-        F.col("amount").cast("string").alias("amount"),
-        "direction",
-        F.col("txn_date").cast("string").alias("txn_date"),
-        "review_status",
-    )
-    old = F.coalesce(*[F.when(F.col("field") == c, F.col(c)) for c in base.columns[1:]])
+    shown = {"txn_date": F.col("txn_date").cast("string"), "amount": F.col("amount").cast("string")}
+    shown |= {c: F.to_json(c) for c in ("entities", "tags")}
+    fields = [c for c in EDITABLE if c in ledger.columns]
+    base = ledger.select("id", *[shown.get(c, F.col(c)).alias(c) for c in fields])
+    old = F.coalesce(*[F.when(F.col("field") == c, F.col(c)) for c in fields])
     order = Window.partitionBy("id", "field").orderBy("patch_seq")
-    events = patches.filter(F.col("field").isin(*base.columns[1:])).join(base, "id")
+    before = F.when(F.row_number().over(order) == 1, old).otherwise(F.lag("value").over(order))
+    events = _edits(patches).filter(F.col("field").isin(*fields)).join(base, "id")
     return events.select(
         "id",
         "patch_seq",
         "field",
-        F.substring(F.coalesce(F.lag("value").over(order), old), 1, limit).alias("old_value"),
+        F.substring(before, 1, limit).alias("old_value"),
         F.substring("value", 1, limit).alias("new_value"),
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetrail.operators.graph import MONEY, PATTERN_FLAGS
+from casetrail.operators.graph import MONEY, PATTERN_FLAGS, first_links
 
 HIGH_VALUE = 1_000_000
 
@@ -19,13 +19,6 @@ def _id(kind: str, key: str | Column) -> Column:
     return F.concat(F.lit(kind + ":"), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
-def first_links(links: DataFrame) -> DataFrame:
-    """One entity for each transaction: the link that came first by ``link_seq``, where links have one, else
-    the first by key."""
-    order = F.struct("link_seq", "key") if "link_seq" in links.columns else F.struct("key")
-    return links.groupBy("case_id", "id").agg(F.min_by("key", order).alias("key"))
-
-
 def _stats(rows: DataFrame, high_value: int) -> DataFrame:
     """Badges of each ``(case_id, node)`` over its transactions. The ids of flagged transactions are part of the
     result, so a node gathers those, and no others."""

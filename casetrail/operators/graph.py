@@ -17,8 +17,10 @@ def _node(kind: str, key: Column) -> Column:
 
 
 def first_links(links: DataFrame) -> DataFrame:
-    """One entity for each transaction: the first by key."""
-    return links.groupBy("case_id", "id").agg(F.min("key").alias("key"))
+    """One entity for each transaction: the link that came first by ``link_seq``, where links have one,
+    else the first by key."""
+    order = F.struct("link_seq", "key") if "link_seq" in links.columns else F.struct("key")
+    return links.groupBy("case_id", "id").agg(F.min_by("key", order).alias("key"))
 
 
 def nodes(ledger: DataFrame, links: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def flow_edges(ledger: DataFrame, links: DataFrame, samples: int = 20) -> DataFr
         F.min("txn_date").alias("first_date"),
         F.max("txn_date").alias("last_date"),
     )
-    newest = Window.partitionBy(*edge).orderBy(F.desc_nulls_last("txn_date"), "seq")
+    newest = Window.partitionBy(*edge).orderBy(F.desc_nulls_last("txn_date"), F.desc("seq"))
     shown = (
         flows.withColumn("_n", F.row_number().over(newest))
         .filter(F.col("_n") <= samples)

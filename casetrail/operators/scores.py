@@ -55,13 +55,16 @@ def leaderboard(scores: DataFrame) -> DataFrame:
 
 def control_totals(rows: DataFrame, declared: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Counts, sums and net change of each file against ``declared`` ones; files without declared
-    totals are told as such."""
+    totals are told as such, and declared files without rows count as empty."""
     total = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, F.col("amount"))), F.lit(0)).cast("decimal(28,2)")
     found = rows.groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"), total("Dr").alias("dr"), total("Cr").alias("cr")
     )
     near = lambda a, b: F.abs(a - b) < tolerance
-    told = found.join(declared, "file", "left")
+    none = F.lit(0).cast("decimal(28,2)")
+    told = found.join(declared, "file", "full_outer").withColumns(
+        {"rows": F.coalesce("rows", F.lit(0)), "dr": F.coalesce("dr", none), "cr": F.coalesce("cr", none)}
+    )
     return told.select(
         "file",
         "rows",

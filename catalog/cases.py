@@ -131,12 +131,19 @@ def _patches(spark, sf):
         F.when(F.col("id") % 21 == 0, edit(2, "direction", F.lit("Cr"))),
         F.when(F.col("id") % 35 == 0, edit(3, "review_status", F.lit("reviewed"))),
         F.when(F.col("id") % 35 == 0, edit(3, "unknown_field", F.lit("x"))),
+        F.when(F.col("id") % 28 == 0, edit(4, "tags", F.lit('["typed","seen"]'))),
+        F.when(F.col("id") % 49 == 0, edit(4, "txn_date", F.lit(None).cast("string"))),
+        F.when(F.col("id") % 49 == 0, edit(4, "direction", F.lit(None).cast("string"))),
+        F.when(F.col("id") % 63 == 0, edit(5, "entities", F.lit('{"counterparty":{"value":"Typed","source":"user_edited"}}'))),
     )
     return ids.select("id", F.inline(F.array_compact(edits)))
 
 
 def _ledger_with_balance(spark, sf):
-    return _balanced(spark, sf).withColumn("edit_count", F.lit(0))
+    found = F.struct(F.col("counterparty").alias("value"), F.lit("extracted").alias("source"))
+    return _balanced(spark, sf).withColumns(
+        {"edit_count": F.lit(0), "entities": F.create_map(F.lit("counterparty"), found)}
+    )
 
 
 _PATCHED = _BALANCED + """, P AS (SELECT *, CASE WHEN id % 14 = 0 THEN id % 300 + 2 WHEN id % 7 = 0 THEN id % 500 + 1 ELSE amount END AS new_amount,
@@ -163,7 +170,8 @@ QUERIES = {
     "w4_running_balance": lambda s, d: _balanced(s, d).select("id", "running_balance"),
     "w6_row_index": lambda s, d: balances.with_row_index(rows(s, d)).select("id", "row_index"),
     "m1_patch_transactions": lambda s, d: balances.patch_transactions(_ledger_with_balance(s, d), _patches(s, d)).select(
-        "id", F.col("amount").cast("decimal(28,2)").alias("amount"), "direction", "review_status", "running_balance", "edit_count"),
+        "id", F.col("amount").cast("decimal(28,2)").alias("amount"), "direction", "review_status", "running_balance", "edit_count", "txn_date",
+        F.array_join("tags", ",").alias("tags"), F.col("entities")["counterparty"]["value"].alias("party")),
     "m2_closing_balances": lambda s, d: balances.closing_balances(
         rows(s, d).groupBy("statement_id").agg(F.lit(0).cast("decimal(28,2)").alias("closing_balance")), _ledger_with_balance(s, d), _patches(s, d)),
     "m3_audit_events": lambda s, d: balances.audit_events(_ledger_with_balance(s, d), _patches(s, d)).filter("field <> 'amount' OR patch_seq = 2"),
@@ -214,10 +222,16 @@ ORACLES = {
     "m1_patch_transactions": f"""{_PATCHED} SELECT id, CAST(new_amount AS DECIMAL(28,2)) AS amount, new_direction AS direction,
       CASE WHEN id % 35 = 0 THEN 'reviewed' ELSE review_status END AS review_status,
       CAST(running_balance + sum(delta) OVER (PARTITION BY statement_id ORDER BY row_index) AS DECIMAL(28,2)) AS running_balance,
-      CASE WHEN id % 7 <> 0 THEN 0 ELSE 1 + CASE WHEN id % 14 = 0 OR id % 21 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 35 = 0 THEN 1 ELSE 0 END END AS edit_count FROM D""",
+      CASE WHEN id % 7 <> 0 THEN 0 ELSE 1 + CASE WHEN id % 14 = 0 OR id % 21 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 35 = 0 THEN 1 ELSE 0 END
+        + CASE WHEN id % 28 = 0 OR id % 49 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 63 = 0 THEN 1 ELSE 0 END END AS edit_count,
+      CASE WHEN id % 49 <> 0 THEN txn_date END AS txn_date, CASE WHEN id % 28 = 0 THEN 'typed,seen' ELSE coalesce(array_to_string(tags, ','), '') END AS tags,
+      CASE WHEN id % 63 = 0 THEN 'Typed' ELSE counterparty END AS party FROM D""",
     "m2_closing_balances": f"{_PATCHED} SELECT statement_id, CAST(sum(delta) AS DECIMAL(28,2)) AS closing_balance FROM D GROUP BY statement_id",
     "m3_audit_events": f"""{X} SELECT id, 2 AS patch_seq, 'amount' AS field, CAST(id % 500 + 1 AS VARCHAR) AS old_value, CAST(id % 300 + 2 AS VARCHAR) AS new_value FROM X WHERE id % 14 = 0
       UNION ALL SELECT id, 2, 'direction', direction, 'Cr' FROM X WHERE id % 21 = 0
-      UNION ALL SELECT id, 3, 'review_status', review_status, 'reviewed' FROM X WHERE id % 35 = 0""",
+      UNION ALL SELECT id, 3, 'review_status', review_status, 'reviewed' FROM X WHERE id % 35 = 0
+      UNION ALL SELECT id, 4, 'tags', '[' || array_to_string(list_transform(tags, lambda t: '"' || t || '"'), ',') || ']', '["typed","seen"]' FROM X WHERE id % 28 = 0
+      UNION ALL SELECT id, 4, 'txn_date', CAST(txn_date AS VARCHAR), NULL FROM X WHERE id % 49 = 0
+      UNION ALL SELECT id, 5, 'entities', '{{"counterparty":{{"value":"' || counterparty || '","source":"extracted"}}}}', '{{"counterparty":{{"value":"Typed","source":"user_edited"}}}}' FROM X WHERE id % 63 = 0""",
     "m4_bulk_status": f"{X} SELECT id, CASE WHEN id % 6 = 0 THEN 'reviewed' ELSE review_status END AS review_status FROM X",
 }

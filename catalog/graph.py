@@ -15,15 +15,18 @@ def _ledger(spark, sf):
 
 
 def _edges(spark, sf):
+    """Every tenth transaction has a second link, which sorts first by key and came later."""
     ledger = entities.rows(spark, sf)
-    return G.flow_edges(ledger, N.links(ledger), 3)
+    links = N.links(ledger).withColumn("link_seq", F.col("id"))
+    later = links.filter("id % 10 = 0").withColumns({"key": F.lit("!"), "link_seq": F.col("id") + 1})
+    return G.flow_edges(ledger, links.unionByName(later), 3)
 
 
 _G = entities._ROWS + """,
   X AS (SELECT *, CASE WHEN direction = 'Dr' THEN 'out' ELSE 'in' END AS way, 'a:' || account_id AS a, 'e:' || key AS e FROM K WHERE key <> ''),
   Y AS (SELECT case_id, CASE WHEN way = 'out' THEN a ELSE e END AS source, CASE WHEN way = 'out' THEN e ELSE a END AS target, way, id, seq, txn_date, amount FROM X),
   D AS (SELECT case_id, source, target, way, CAST(sum(amount) AS DECIMAL(28,2)) AS amount, count(*) AS count, min(txn_date) AS first_date, max(txn_date) AS last_date,
-    array_to_string(list(id ORDER BY txn_date DESC, seq)[1:3], ',') AS samples FROM Y GROUP BY ALL),
+    array_to_string(list(id ORDER BY txn_date DESC, seq DESC)[1:3], ',') AS samples FROM Y GROUP BY ALL),
   I AS (SELECT case_id, target AS node, source AS other, true AS inward, amount, count FROM D UNION ALL SELECT case_id, source, target, false, amount, count FROM D),
   P AS (SELECT case_id, node, other, CAST(coalesce(sum(amount) FILTER (inward), 0) AS DECIMAL(28,2)) AS came, CAST(coalesce(sum(amount) FILTER (NOT inward), 0) AS DECIMAL(28,2)) AS went FROM I GROUP BY ALL)"""
 

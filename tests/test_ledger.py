@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casetrail.functions.text import extract, strip
-from casetrail.operators import balances, parsing, summary, velocity
+from casetrail.operators import balances, parsing, scores, summary, velocity
 
 SAVINGS = "withdrawalamt closingbalance\nOpeningBalance x\n1,000.00\n"
 
@@ -124,6 +124,33 @@ def test_edits_move_later_balances(spark):
     assert [(e["old_value"], e["new_value"]) for e in events] == [("5.00", "8"), ("8", "6"), ("reviewed", "flagged")]
 
 
+def test_edits_of_lists_maps_and_cleared_fields(spark):
+    party = F.create_map(F.lit("party"), F.struct(F.lit("x").alias("value"), F.lit(0.5).alias("confidence")))
+    base = ledger(spark).withColumns({"running_balance": F.lit(0).cast("decimal(28,2)"), "edit_count": F.lit(0), "entities": party})
+    typed = '{"party":{"value":"y","confidence":1.0}}'
+    patches = spark.createDataFrame(
+        [(10, 1, "tags", '["a"]'), (10, 2, "tags", '["b","c"]'), (10, 2, "entities", typed), (13, 1, "txn_date", None),
+         (13, 2, "txn_date", "2024-02-01"), (12, 1, "txn_date", None), (12, 1, "amount", None), (11, 1, "review_status", None)],
+        "id int, patch_seq int, field string, value string",
+    )
+    rows = {r["id"]: r for r in balances.patch_transactions(base, patches).collect()}
+    assert rows[10]["tags"] == ["b", "c"] and rows[10]["entities"]["party"]["value"] == "y" and rows[11]["tags"] == ["t"]
+    assert rows[12]["txn_date"] is None and rows[12]["amount"] == Decimal("9.00") and rows[11]["review_status"] is None
+    assert str(rows[13]["txn_date"]) == "2024-02-01" and rows[13]["edit_count"] == 2
+    events = {(e["id"], e["patch_seq"], e["field"]): (e["old_value"], e["new_value"]) for e in balances.audit_events(base, patches).collect()}
+    assert len(events) == 7 and events[10, 1, "tags"] == ("[]", '["a"]') and events[10, 2, "tags"] == ('["a"]', '["b","c"]')
+    assert events[13, 2, "txn_date"] == (None, "2024-02-01") and events[10, 2, "entities"] == ('{"party":{"value":"x","confidence":0.5}}', typed)
+
+
+def test_declared_files_without_rows(spark):
+    rows = spark.createDataFrame([("a", Decimal("5.00"), "Dr"), ("c", Decimal("1.00"), "Cr")], "file string, amount decimal(18,2), type string")
+    declared = spark.createDataFrame([("a", 1, 5.0, 0.0, -5.0), ("b", 2, 1.0, 1.0, 0.0)], "file string, count int, debits double, credits double, net_change double")
+    told = {r["file"]: r for r in scores.control_totals(rows, declared).collect()}
+    assert told["a"]["count_ok"] and told["a"]["debits_ok"] and told["a"]["credits_ok"] and told["a"]["net_ok"]
+    assert (told["b"]["rows"], told["b"]["count_ok"], told["b"]["debits_ok"], told["b"]["status"]) == (0, False, False, "checked")
+    assert told["c"]["status"] == "no-truth" and told["c"]["count_ok"] is None
+
+
 def test_workbench_filter(spark):
     fit = lambda **k: sorted(r["id"] for r in summary.workbench_filter(ledger(spark).withColumns({"raw_description": F.lit("UPI Pay"), "channel": F.lit("UPI")}), **k).collect())
     assert fit(flagged=True) == [10, 11, 12]

@@ -80,15 +80,7 @@ _D6 = f"""
 
 
 # Detector settings with hits on the shared tables, for the merged runs.
-def tuned_detectors():
-    return (
-        D.structuring,
-        lambda df: D.velocity_spike(df, min_count=4),
-        D.round_amounts,
-        D.fund_through,
-        lambda df: D.dormant_active(df, dormant_days=5, burst_count=2),
-        lambda df: D.round_trip(df, tolerance=0.25),
-    )
+TUNED = D.Limits(velocity_count=4, dormant_days=5, wake_count=2, trip_tolerance=0.25)
 
 
 _ALL = f"""
@@ -153,14 +145,14 @@ QUERIES = {
         T.ledger(s, d, "nation"), dormant_days=5, burst_count=2
     ),
     "d6_round_trip": lambda s, d: D.round_trip(T.ledger(s, d, "nation", True), tolerance=0.25),
-    "d7_run_all": lambda s, d: D.run_all(T.ledger(s, d, "nation", True), tuned_detectors()).select(
+    "d7_run_all": lambda s, d: D.run_all(T.ledger(s, d, "nation", True), TUNED).select(
         "id", F.array_join("new_flags", ",").alias("flags")
     ),
-    "d8_refresh_flags": lambda s, d: D.refresh_flags(_flagged_ledger(s, d), tuned_detectors()).select(
+    "d8_refresh_flags": lambda s, d: D.refresh_flags(_flagged_ledger(s, d), TUNED).select(
         "id", F.array_join("flags", ",").alias("flags")
     ),
     "d8_flag_counts": lambda s, d: D.count_flags(
-        D.run_all(T.ledger(s, d, "nation", True), tuned_detectors()), T.ledger(s, d, "nation", True)
+        D.run_all(T.ledger(s, d, "nation", True), TUNED), T.ledger(s, d, "nation", True)
     ),
 }
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetrail.functions import names
+from casetrail.operators import containment
 from casetrail.session import cut_lineage
 
 MONEY = "decimal(28,2)"
@@ -85,21 +86,12 @@ def links(ledger: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 def containments(entities: DataFrame, min_key_len: int = 5) -> DataFrame:
     """Pairs of entities of one case one of whose squeezed keys holds the other.
 
-    The shorter key's first ``min_key_len`` letters are among the runs of that many letters of the
-    longer one, so the pairs come from an equi-join with few letters per key and a check.
+    Keys meet through the shorter one's run of ``min_key_len`` letters that is rarest in the case.
     """
     keys = entities.select("case_id", "key", names.squeezed_key(F.col("key")).alias("k"))
-    keys = keys.filter(F.length("k") >= min_key_len)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.length("k") - min_key_len + 1), lambda i: F.substring(F.col("k"), i, F.lit(min_key_len))
-    )
-    long = keys.select("case_id", F.col("key").alias("long"), F.col("k").alias("kl"), F.explode(F.array_distinct(runs)).alias("g"))
-    short = keys.select("case_id", F.col("key").alias("short"), F.col("k").alias("ks"), F.substring("k", 1, min_key_len).alias("g"))
-    return (
-        long.join(short, ["case_id", "g"])
-        .filter((F.col("long") != F.col("short")) & F.contains("kl", F.col("ks")))
-        .select("case_id", "long", "short")
-    )
+    sides = [keys.withColumnRenamed("key", side) for side in ("short", "long")]
+    pairs = containment.containment_pairs(*sides, ["case_id"], "k", "k", "short", "long", min_key_len, min_key_len)
+    return pairs.filter(F.col("long") != F.col("short")).select("case_id", "long", "short")
 
 
 def merges(entities: DataFrame, linked: DataFrame, min_key_len: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casetrail.functions.logic import first_match
-from casetrail.sources.shared_tables import table
+from casetrail.sources.shared_tables import spread, table
 
 LAYOUTS = ("hdfc_cc", "idfc", "hdfc_savings", "icici", "kotak", "unknown")
 MAX_ROWS = 4
@@ -93,7 +93,7 @@ def statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("holder"),
     )
     last = F.sequence(F.lit(0), rows_in(F.col("o_orderkey")) - 1)
-    valued = orders.withColumn("rows", F.transform(last, _transaction))
+    valued = spread(orders).withColumn("rows", F.transform(last, _transaction))
     marks = {
         "{name}": F.col("holder"),
         "{acct}": F.concat(F.lit("9000"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")),

@@ -148,3 +148,14 @@ def shared_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     first = near.select("case_id", F.col("node").alias("one"), F.col("other").alias("shared"))
     second = near.select("case_id", F.col("node").alias("two"), F.col("other").alias("shared"))
     return pairs.join(first, ["case_id", "one"]).join(second, ["case_id", "two", "shared"])
+
+
+def sides(transfers: DataFrame, addresses: list[str] | None = None) -> DataFrame:
+    """Transfers by who sends and who receives: ``address`` in lower case, ``side`` (out or in) and the transfer's
+    columns, for the given addresses or for all. A transfer to oneself is on both sides; a missing or empty
+    end is nobody's. No row is shuffled."""
+    ends = F.array(
+        F.struct(F.lower("source").alias("address"), F.lit("out").alias("side")), F.struct(F.lower("target").alias("address"), F.lit("in").alias("side"))
+    )
+    rows = transfers.select(F.inline(ends), "*").filter("address <> ''")
+    return rows if addresses is None else rows.filter(F.col("address").isin(*{a.lower() for a in addresses}))

@@ -363,3 +363,32 @@ def agreement(read: DataFrame) -> DataFrame:
         "extraction_id", "field", F.transform("v", lambda e: e.dropFields("first")).alias("values"), F.size("v").alias("distinct_count"),
         ((F.size("v") == 1) & (F.size(F.col("v")[0]["reporters"]) > 1)).alias("unanimous"),
     )
+
+
+# Rules that tell of no match, and how many characters of a description are sent along.
+_NO_RULE = ("unmatched", "no_decoder")
+CONTEXT_CHARS = 200
+
+
+def context_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """Parsed rows as a model gets them: ``keep`` and ``entry``, a JSON object of ``date, amount, direction`` (else ``type``) and the
+    first characters of ``description``; nulls are shown. ``decoded`` (a map of texts) is added where its
+    ``matched_rule`` tells of a match, without that rule and without empty values."""
+    shown = {"ignoreNullFields": "false"}
+    base = [
+        F.col("date"), F.col("amount"),
+        F.coalesce(F.nullif("direction", F.lit("")), "type").alias("direction"),
+        F.coalesce(F.substring("description", 1, CONTEXT_CHARS), F.lit("")).alias("description"),
+    ]
+    rule = F.col("decoded")["matched_rule"]
+    told = F.map_filter("decoded", lambda k, v: (v != "") & (k != "matched_rule"))
+    matched = F.coalesce(~rule.isin(*_NO_RULE), F.lit(False))
+    entry = F.when(matched, F.to_json(F.struct(*base, told.alias("decoded")), shown)).otherwise(F.to_json(F.struct(*base), shown))
+    return rows.select(*keep, entry.alias("entry"))
+
+
+def contexts(rows: DataFrame, key: str = "statement_id", order: str = "seq") -> DataFrame:
+    """``(key, row_count, context)``: the entries of each statement in order as one JSON array. One statement's rows
+    go into one prompt, so they are few."""
+    told = context_rows(rows, key, order).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "entry"))).alias("e"))
+    return told.select(key, F.size("e").alias("row_count"), F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["entry"]), ","), F.lit("]")).alias("context"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detectors", "narrations", "text", "cases", "velocity", "entities", "graph", "scores", "traversal", "signals", "responses", "canvas", "tables", "ingest", "entity_links")
+MODULES = ("detectors", "narrations", "text", "cases", "velocity", "entities", "graph", "scores", "traversal", "signals", "responses", "canvas", "tables", "ingest", "entity_links", "extractions")
 
 
 def _collect(attribute: str) -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casetrail.operators import balances, summary
 from casetrail.sources import rendered as R
 from casetrail.sources import shared_tables as T
+from catalog import text
 
 # The ledger with flags, tags, category and channel derived from the order key; the same in SQL.
 _FLAGS = (
@@ -235,3 +236,10 @@ ORACLES = {
       UNION ALL SELECT id, 5, 'entities', '{{"counterparty":{{"value":"' || counterparty || '","source":"extracted"}}}}', '{{"counterparty":{{"value":"Typed","source":"user_edited"}}}}' FROM X WHERE id % 63 = 0""",
     "m4_bulk_status": f"{X} SELECT id, CASE WHEN id % 6 = 0 THEN 'reviewed' ELSE review_status END AS review_status FROM X",
 }
+
+# Layout 2 prints the balance after every row; the others start from the opening balance, which is 0 here.
+ORACLES["s8_ingest"] = f"""WITH R AS (SELECT *, {text._DESC} AS x, sum(CASE type WHEN 'Cr' THEN amount ELSE -amount END) OVER (PARTITION BY statement_id ORDER BY j) AS moved FROM ({R.EXPECTED_SQL})),
+  S AS (SELECT *, {text._CHANNEL} AS channel, {text._CATEGORY} AS category, {text._PARTY} AS counterparty FROM R)
+  SELECT 1 AS case_id, statement_id AS account_id, statement_id, CAST(j + 1 AS INTEGER) AS row_index, strftime(txn_day, '%Y-%m-%d') AS txn_date, amount, type AS direction,
+    CAST(CASE WHEN layout = 2 THEN {R.OPENING} ELSE 0 END + moved AS DECIMAL(28,2)) AS running_balance, x AS raw_description, channel, category, counterparty,
+    CASE WHEN starts_with(counterparty, '(unknown') OR length(counterparty) < 3 THEN 'low' WHEN channel = 'OTHER' THEN 'medium' ELSE 'high' END AS confidence, 'unreviewed' AS review_status, 0 AS edit_count FROM S"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casetrail.operators import scores
 from casetrail.operators import velocity as V
 from casetrail.sources import shared_tables as T
 
@@ -71,3 +72,24 @@ ORACLES = {
           / (0.45 + CASE WHEN p4 IS NULL THEN 0 ELSE 0.15 END + CASE WHEN b IS NULL THEN 0 ELSE 0.15 END + CASE WHEN p6 IS NULL THEN 0 ELSE 0.25 END), 0.95)::DOUBLE, 3) AS velocity_risk_score FROM K
       UNION ALL SELECT DISTINCT -user_id - 1, 0, 0.0, 0.0, 'Dormant', 0.0 FROM events""",
 }
+
+
+def _classified(spark, sf):
+    """Customers and suppliers by equal numbers; every hundredth order goes to its own sender."""
+    lines = T.table(spark, sf, "lineitem").join(T.table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey"))
+    moves = lines.selectExpr("o_custkey AS from_address", "CASE WHEN l_orderkey % 100 = 0 THEN o_custkey ELSE l_suppkey END AS to_address", "l_orderkey * 10 + l_linenumber AS seq")
+    return V.classified(moves, T.table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("address")))
+
+
+def _rhythm(spark, sf):
+    daily = V.daily_breakdown(transfers(spark, sf))
+    told = scores.temporal_anomaly(F.col("regularity_score"), F.col("burst_score"), F.expr("address % 5 = 0"))
+    return V.regularity(daily).select("address", F.array_join(told, ",").alias("signals"))
+
+
+QUERIES |= {"v1_classified": _classified, "z5_temporal_anomaly": _rhythm}
+ORACLES |= {
+    "v1_classified": """WITH M AS (SELECT o_custkey AS f, CASE WHEN l_orderkey % 100 = 0 THEN o_custkey ELSE l_suppkey END AS t, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+      S AS (SELECT f AS address, true AS outgoing, seq FROM M UNION ALL SELECT t, false, seq FROM M WHERE t <> f) SELECT * FROM S WHERE address IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)""",
+    "z5_temporal_anomaly": f"""{EV} SELECT address, concat_ws(',', CASE WHEN address % 5 = 0 THEN 'regular_cadence' END, CASE WHEN regularity_score < 0.4 THEN 'high_regularity' END, CASE WHEN burst_score > 3 THEN 'high_burst' END) AS signals FROM R""",
+}
